@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TOKENIZERS = "/opt/tokenizers"  # folder of the public vocabulary files; never copied
 
@@ -21,6 +22,18 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(docs, new_folder(spark, "tokens"), f"{TOKENIZERS}/byte_bpe_50k.json", 2))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.secret_scan import find_secrets, secret_digest
+
+    return secret_digest(find_secrets(_documents(spark, sf_dir)))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.line_dedup import dedup_lines
+
+    return dedup_lines(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -29,4 +42,17 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-ORACLES: dict[str, str] = {}
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+ORACLES: dict[str, str] = {
+    "op8_line_dedup": f"""
+WITH lines AS (
+  SELECT doc_id, i AS pos, l[i] AS line,
+         translate(trim(l[i], {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) t(i)),
+common AS (
+  SELECT key, max(doc_id) AS last_doc FROM lines WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE last_doc > doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT coalesce(last_doc > doc_id, false)), '')) AS kept_sha256
+FROM lines LEFT JOIN common USING (key) GROUP BY doc_id""",
+}
