@@ -1,7 +1,7 @@
 """Operator 1: flat token-id files with 64-bit document offsets.
 
-Layout of a folder: for each part, ``<part>.ids`` (all ids as little-endian unsigned 32-bit integers, documents end to
-end, in ascending document id), ``<part>.offsets`` (documents + 1 unsigned 64-bit token offsets within the part) and
+Layout of a folder: for each part, ``<part>.ids`` (all ids as little-endian unsigned integers of 16 bits where the
+vocabulary and the end id fit, else of 32, documents end to end, in ascending document id), ``<part>.offsets`` (documents + 1 unsigned 64-bit token offsets within the part) and
 ``<part>.docs`` (document ids as signed 64-bit integers). Parts are ranges of document ids, so the whole collection is
 the parts one after the other; a manifest gives each part's first token and document, found by prefix sums over the
 parts' sizes. Every file can be memory-mapped.
@@ -28,15 +28,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm.storage import materialize, open_fs
 from tessera.llm.textspans import text_slices
-from tessera.llm.wordcache import encoder, gather
+from tessera.llm.wordcache import encoder, gather, vocabulary_size
 
 _NULL_ID = np.iinfo(np.int64).min
 
 
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int, kind: str = "byte", id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
-    """Encode every whole text, append ``end_id`` and write the files; returns the manifest (part, path, n_docs, n_tokens, first_doc, first_token)."""
+    """Encode every whole text, append ``end_id`` and write the files; returns the manifest (part, path, width, n_docs, n_tokens, first_doc, first_token)."""
     spark = docs.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = "<u2" if max(vocabulary_size(vocabulary), end_id + 1) <= 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
@@ -65,7 +66,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
                 for _, _, data, offsets in text_slices(batch.column(1)):
                     flat, counts = encode.encode(data, offsets)
                     ends = np.cumsum(counts + 1)
-                    out = np.full(int(ends[-1]), end_id, "<u4")
+                    out = np.full(int(ends[-1]), end_id, width)
                     inside = np.ones(len(out), bool)
                     inside[ends - 1] = False
                     out[inside] = flat
@@ -74,9 +75,9 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
                     total += int(ends[-1])
         for suffix in ("ids", "offsets", "docs"):
             files.move(f"{name}.{suffix}.{attempt}", f"{name}.{suffix}")
-        yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/{part:06d}"], "n_docs": [docs_seen], "n_tokens": [total]}, pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/{part:06d}"], "width": [width], "n_docs": [docs_seen], "n_tokens": [total]}, pa.schema([("part", pa.int32()), ("path", pa.string()), ("width", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    written = materialize(ordered.mapInArrow(write, "part int, path string, n_docs long, n_tokens long"), "token-parts")
+    written = materialize(ordered.mapInArrow(write, "part int, path string, width string, n_docs long, n_tokens long"), "token-parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
     return written.select("*", *(F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long").alias(name) for c, name in (("n_docs", "first_doc"), ("n_tokens", "first_token"))))
 
@@ -103,7 +104,7 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = _mapped(row["path"] + ".ids").view("<u4")
+                ids = _mapped(row["path"] + ".ids").view(row["width"])
                 offsets = _mapped(row["path"] + ".offsets").view("<u8").astype(np.int64)
                 doc_ids = _mapped(row["path"] + ".docs").view("<i8")
                 if len(offsets) != row["n_docs"] + 1 or offsets[-1] != row["n_tokens"] or len(ids) != row["n_tokens"]:
@@ -115,10 +116,10 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                         pa.array(some, pa.int64(), mask=some == _NULL_ID),
                         pa.array(at[:-1] + row["first_token"]),
                         pa.array(np.diff(at)),
-                        pa.array([zlib.crc32(ids[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64()),
+                        pa.array([zlib.crc32(ids[s:e].astype("<u4")) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64()),
                     ]
                     if with_ids:
                         columns.append(pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), pa.array(gather(ids, at[:1], at[-1:] - at[:1]).astype(np.int64))))
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return manifest.select("path", "n_docs", "n_tokens", "first_token").repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return manifest.select("path", "width", "n_docs", "n_tokens", "first_token").repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)

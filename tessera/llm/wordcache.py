@@ -21,7 +21,7 @@ _SPACE, _LETTER, _DIGIT, _OTHER, _RARE = range(5)
 #: The contractions of both pre-tokenizers.
 _SUFFIXES = ("s", "t", "m", "d", "re", "ve", "ll")
 #: Distinct pre-tokens kept by a worker; beyond that the table starts anew. Bounds memory, never results.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 700_000
 
 
 def _classes() -> np.ndarray:
@@ -201,6 +201,13 @@ def gather(pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return pool[index]
 
 
+def vocabulary_size(path: str) -> int:
+    """Largest id of a vocabulary file + 1."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab().values()) + 1
+
+
 _ENCODERS: dict[tuple[str, str], WordEncoder] = {}
 
 
