@@ -66,11 +66,12 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with ``n_lines``, ``n_dropped`` and ``kept_text``; other columns are dropped but for the id."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("doc"))
-    joined = rows.join(bitmaps, "doc", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "drop_runs")
+    """(row, n_lines, n_dropped, kept_text) of every document; ``row`` is a struct of its columns."""
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("doc"))
+    joined = rows.join(bitmaps, "doc", "left")
     split = joined.withColumn("lines", F.when(F.col("drop_runs").isNotNull(), F.split("text", "\n", -1)))
-    # The kept stretches lie between one run's end and the next one's start.
+    # The kept stretches lie between one run's end and the next one's start; positions beyond this row's own lines
+    # belong to another row of the same id.
     begins = F.concat(F.array(F.lit(0)), F.col("drop_runs.after"))
     ends = F.concat(F.col("drop_runs.first"), F.array(F.size("lines")))
     stretches = split.withColumn("stretches", F.arrays_zip(begins.alias("a"), ends.alias("b")))
@@ -78,7 +79,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     n_dropped = F.aggregate("drop_runs", F.lit(0).cast("long"), lambda acc, r: acc + (r.after - r.first))
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     return stretches.select(
-        "doc_id",
+        "row",
         n_lines.cast("long").alias("n_lines"),
         F.coalesce(n_dropped, F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("drop_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
@@ -87,4 +88,12 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_text of every row of ``docs``."""
-    return apply_bitmaps(docs, keep_bitmaps(docs, id_col, text_col, min_chars, min_docs), id_col, text_col)
+    applied = apply_bitmaps(docs, keep_bitmaps(docs, id_col, text_col, min_chars, min_docs), id_col, text_col)
+    return applied.select(F.col(f"row.{id_col}").alias("doc_id"), "n_lines", "n_dropped", "kept_text")
+
+
+def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """The rows of ``docs`` with what stays of their texts; an ``n_chars`` column follows."""
+    applied = apply_bitmaps(docs, keep_bitmaps(docs, id_col, text_col, min_chars, min_docs), id_col, text_col)
+    new = {text_col: F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return applied.select(*(new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))

@@ -96,12 +96,13 @@ def _verified(rule: Rule, number: int, needs_index: bool) -> Column:
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", index: DataFrame | None = None) -> DataFrame:
     """Every row with an array of spans (start, end, txt, before, after) by rule, in columns named as the rules' kinds.
 
-    Columns: doc_id, text (null as empty), then one for each rule. ``index`` may be a stored build_index().
+    Columns: doc_id, text (null as empty), row (a struct of all columns of docs), then one for each rule. ``index`` may be
+    a stored build_index().
     """
     found = candidates(build_index(docs, rules, id_col, text_col) if index is None else index, rules)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct("*").alias("row"))
     joined = rows.join(found, rows.doc_id.eqNullSafe(found.doc), "left").drop("doc")
-    return joined.select("doc_id", "text", *(_verified(r, k, trigram_query(r.pattern) is not True).alias(r.kind) for k, r in enumerate(rules)))
+    return joined.select("doc_id", "text", "row", *(_verified(r, k, trigram_query(r.pattern) is not True).alias(r.kind) for k, r in enumerate(rules)))
 
 
 def secret_digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -117,8 +118,18 @@ def secret_digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, clean_text): every found span, overlapping ones as one, replaced by ``mark``."""
-    found = find_secrets(docs, rules, id_col, text_col)
-    return found.select("doc_id", F.concat(*(F.col(r.kind) for r in rules)).alias("all"), "text").select("doc_id", F.when(F.size("all") > 0, cut_spans(F.col("text"), merge_spans(F.col("all")), mark)).otherwise(F.col("text")).alias("clean_text"))
+    return _cleaned(docs, mark, rules, id_col, text_col).select("doc_id", "clean_text")
 
 
-__all__ = ["RULES", "SPAN", "Rule", "build_index", "candidates", "find_secrets", "redact_secrets", "secret_digest"]
+def _cleaned(docs: DataFrame, mark: str, rules: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
+    found = find_secrets(docs, rules, id_col, text_col).select("doc_id", "row", "text", F.concat(*(F.col(r.kind) for r in rules)).alias("all"))
+    return found.select("doc_id", "row", F.when(F.size("all") > 0, cut_spans(F.col("text"), merge_spans(F.col("all")), mark)).otherwise(F.col("text")).alias("clean_text"))
+
+
+def without_secrets(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with their secrets replaced by ``mark``; an ``n_chars`` column follows."""
+    new = {text_col: F.col("clean_text"), "n_chars": F.char_length("clean_text").cast("long")}
+    return _cleaned(docs, mark, rules, id_col, text_col).select(*(new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))
+
+
+__all__ = ["RULES", "SPAN", "Rule", "build_index", "candidates", "find_secrets", "redact_secrets", "secret_digest", "without_secrets"]
