@@ -56,13 +56,13 @@ def base_spans(text: Column) -> list[Column]:
     """Spans of the four base kinds."""
     email = find_spans(text, _EMAIL, F.contains(text, F.lit("@")))
     ip = F.filter(find_spans(text, _IP, text.rlike(r"[0-9]\.[0-9]")), lambda s: s.txt.rlike(_IP_PARTS))
-    card = F.filter(find_spans(text, _CARD, text.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]")), lambda s: (F.length(_digits(s.txt)) <= 19) & F.luhn_check(_digits(s.txt)))
+    card = F.filter(find_spans(text, _CARD, text.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]")), lambda s: (F.length(_digits(s.txt)) <= 19) & F.call_function("luhn_check", _digits(s.txt)))
     phone = F.filter(find_spans(text, _PHONE, F.contains(text, F.lit("+"))), lambda s: F.length(_digits(s.txt)).between(10, 15))
     return [email, ip, card, phone]
 
 
 def _card_itself(txt: Column) -> Column:
-    return F.length(_digits(txt)).between(14, 19) & F.luhn_check(_digits(txt))
+    return F.length(_digits(txt)).between(14, 19) & F.call_function("luhn_check", _digits(txt))
 
 
 def candidate_spans(text: Column) -> list[Column]:
