@@ -122,14 +122,14 @@ def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float, triangle: bool)
 
 
 def _compare(dim: int, axes: np.ndarray, threshold: float):
-    schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right, members = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             ends = np.cumsum(members.value_lengths().to_numpy(zero_copy_only=False))
             flat = members.flatten()
-            tile, ids, copies = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("tile", "id", "copies"))
+            tile, ids, keys, copies = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("tile", "id", "h1", "copies"))
             raw = flat.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             for k, e in enumerate(ends.tolist()):
                 s = int(ends[k - 1]) if k else 0
@@ -147,7 +147,7 @@ def _compare(dim: int, axes: np.ndarray, threshold: float):
                 rank[order] = np.arange(n)
                 root = order[_roots(n, rank[a - s], rank[b - s])[rank]]
                 hit = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[s:e][hit]), pa.array(links[hit]), pa.array(ids[s:e][root[hit]])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s:e][hit]), pa.array(keys[s:e][hit]), pa.array(links[hit]), pa.array(ids[s:e][root[hit]])], schema=schema)
 
     return run
 
@@ -166,7 +166,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         axes = principal_axes(same, dim)
         lead = F.aggregate(F.zip_with("vector", F.array(*(F.lit(float(c)) for c in axes[:, 0])), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
         length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-        placed = same.select("id", "copies", "vector", (lead / length).alias("lead"))
+        placed = same.select("id", "h1", "copies", "vector", (lead / length).alias("lead"))
         tiles = max(1, -(-n // tile))
         bands = int(min(64, max(1, tiles // 4)))
         cuts = sorted(set(placed.approxQuantile("lead", [k / bands for k in range(1, bands)], 0.25 / bands))) if bands > 1 else []
@@ -180,15 +180,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         pairs = boxes.join(other, (F.col("tile") <= F.col("tile2")) & (F.col("low2") - F.col("high") <= far) & (F.col("low") - F.col("high2") <= far)).select(F.col("tile").alias("a"), F.col("tile2").alias("b"))
         sides = materialize(pairs, "tile-pairs")
         sides = sides.withColumn("tile", F.explode(F.array_distinct(F.array("a", "b"))))
-        dealt = placed.join(sides, "tile").select("a", "b", F.struct("tile", "id", "copies", "vector").alias("member"))
-        links = dealt.groupBy("a", "b").agg(F.collect_list("member").alias("members")).mapInArrow(_compare(dim, axes, threshold), "id long, links long, root long")
+        dealt = placed.join(sides, "tile").select("a", "b", F.struct("tile", "id", "h1", "copies", "vector").alias("member"))
+        links = dealt.groupBy("a", "b").agg(F.collect_list("member").alias("members")).mapInArrow(_compare(dim, axes, threshold), "id long, key long, links long, root long")
         found = links if found is None else found.unionByName(links)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = materialize(found, "links")
-    per_vector = found.groupBy("id").agg(F.sum("links").alias("links"))
+    per_vector = found.groupBy("id", F.col("key").alias("h1")).agg(F.sum("links").alias("links"))
     named = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    known = distinct.select("dim", "h1", "h2", "id", "copies").join(per_vector, "id", "left").join(named.withColumnRenamed("node", "id"), "id", "left")
+    known = distinct.select("dim", "h1", "h2", "id", "copies").join(per_vector, ["id", "h1"], "left").join(named.withColumnRenamed("node", "id"), "id", "left")
     known = known.select("dim", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
     joined = rows.drop("vector").join(known, ["dim", "h1", "h2"], "left")
     links, component = F.when(F.col("usable"), F.col("links")).otherwise(0).cast("long"), F.when(F.col("usable"), F.col("component")).otherwise(F.col("vec_id"))
