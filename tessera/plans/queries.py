@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar
+from tessera.functions.session import reachable
 from tessera.operators import analytics, scoring, selection, sequence
 from tessera.plans.pipeline import select_frames
 from tessera.sources import readers, sinks
@@ -39,7 +40,7 @@ def s6(x: str, name: str | None = None) -> str:
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return reachable(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
 #: One row for each part: four averages as scorers, from integer sums so that both engines divide the same numbers.
