@@ -30,7 +30,7 @@ from tessera.llm.language_model import _batch_keys, document_keys, kneser_ney, r
 from tessera.llm.storage import materialize, new_folder
 from tessera.llm.textspans import owners, per_document, repeated, span_hashes, text_slices, windows, words
 
-LOW, HIGH, NOISE, LEAST_SPREAD = 6.0, 8.0, 6.0, 0.04
+LOW, HIGH, NOISE, LEAST_SPREAD = 14.0, 10.0, 6.0, 0.04
 WINDOW = 5
 #: The symbols that the base rules count.
 _SYMBOL = np.zeros(256, bool)

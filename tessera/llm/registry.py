@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.session import reachable
+
 TOKENIZERS = "/opt/tokenizers"  # folder of the public vocabulary files; never copied
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
+    return reachable(spark).read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +76,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.embedding_dedup import near_duplicates
 
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    return near_duplicates(reachable(spark).read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

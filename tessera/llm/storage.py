@@ -12,11 +12,14 @@ import uuid
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.functions.session import reachable
+
 _LOCAL: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
     """The shared folder as a URI or path."""
+    reachable(spark)
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tessera-")
