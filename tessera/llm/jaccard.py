@@ -11,7 +11,7 @@
 4. Forests of one block need one task. In larger ones every block first meets block 0; then only documents outside the
    largest component found meet the other blocks, so no pair of different components stays uncompared.
 
-Scale: (2) moves about 0.2 keys for a shingle, with map-side aggregation and joins that Spark can split; (3) moves
+Scale: (2) moves about 0.2 keys for a shingle once, by ranges that split even a single key; (3) moves
 only the texts of documents that have a neighbour. Nothing is broadcast or collected.
 
 Defined cases: A-Z count as lower case; a text with fewer words than a shingle is one shingle of its whole sequence;
@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
@@ -246,15 +246,55 @@ def _joined(tasks: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return rows.groupBy("forest", "task").agg(F.collect_list("member").alias("members")).select("members").mapInArrow(_compare(width, percent), "a long, b long")
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (key, rep) in order: an edge of each row to the first of its key, and the part's first key and last run."""
+    from pyspark import TaskContext
+
+    schema = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("last_key", pa.int64()), ("last_a", pa.int64())])
+    part = TaskContext.get().partitionId()
+    head = run = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, rep = (batch.column(i).to_numpy() for i in (0, 1))
+        head = (int(key[0]), int(rep[0])) if head is None else head
+        new = np.concatenate([[run is None or run[0] != key[0]], key[1:] != key[:-1]])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        first = np.where(at >= 0, rep[np.maximum(at, 0)], run[1] if run else 0)
+        run = (int(key[-1]), int(first[-1]))
+        edge = rep != first
+        n = int(edge.sum())
+        if n:
+            none = pa.nulls(n, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), none, pa.array(rep[edge]), pa.array(first[edge]), none, none], schema=schema)
+    if head is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.int64()) for x in (head[0], head[1], None, run[0], run[1]))], schema=schema)
+
+
+def _neighbours(vertices: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the vertices with a key in common, from one exchange by ranges of (key, rep).
+
+    A key that fills several ranges is put together from one row for each range. Each vertex then keeps its least
+    neighbour; its others become edges of that one, and those repeat.
+    """
+    spark = vertices.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = vertices.select(F.explode("keys").alias("key"), "rep").repartitionByRange(n, "key", "rep").sortWithinPartitions("key", "rep")
+    runs = materialize(keys.mapInArrow(_runs, "part int, key long, a long, b long, last_key long, last_a long"), "runs")
+    ends = Window.orderBy("part")  # one row for each range
+    seams = runs.where("part IS NOT NULL").select("key", "a", F.lag("last_key").over(ends).alias("before"), F.lag("last_a").over(ends).alias("b")).where("key = before AND a <> b").select("a", "b")
+    edges = runs.where("part IS NULL").select("a", "b").unionByName(seams)
+    around = edges.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("bs"))
+    return around.select(F.explode(F.transform("bs", lambda b, i: F.when(i == 0, F.struct(F.col("a").alias("a"), b.alias("b"))).otherwise(F.struct(F.element_at("bs", 1).alias("a"), b.alias("b"))))).alias("e")).select("e.a", "e.b").distinct()
+
+
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     features = materialize(texts.mapInArrow(_features(width, percent), "doc_id long, n_shingles long, set1 long, set2 long, keys array<long>"), "shingles")
     some = features.where("doc_id IS NOT NULL AND n_shingles > 0")
     vertices = materialize(some.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"), F.max("n_shingles").alias("n")), "vertices")
-    keys = vertices.select("rep", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("other"), F.max("rep").alias("last")).where("other < last").drop("last")
-    near = connected_components(keys.join(shared, "key").where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")).distinct())
+    near = connected_components(_neighbours(vertices))
 
     members = near.join(vertices.select(F.col("rep").alias("node"), "n"), "node").groupBy("node", "component").agg(F.sum("n").alias("n"))
     sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
