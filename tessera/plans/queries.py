@@ -272,7 +272,7 @@ def sidecar_tags(spark, sf):
 # Sessions and calibration on the event stream --------------------------------------------------------------------
 
 EVENTS_SQL = "SELECT user_id AS shoot_id, event_id, CAST(event_id AS {text}) AS path, {epoch} AS timestamp, value AS focal, event_type AS orientation, {ev} AS ev, 'b' AS camera_body FROM {events}"
-E_DUCK = "WITH e AS (SELECT user_id AS shoot_id, event_id, epoch_us(ts) / 1e6 AS timestamp, value AS focal, event_type AS orientation, ln(value + 1) / ln(2) AS ev FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY shoot_id ORDER BY timestamp, event_id::VARCHAR) - 1 AS global_index FROM e), l AS (SELECT *, timestamp - lag(timestamp) OVER w AS dt, CASE WHEN lag(focal) OVER w > 0 THEN abs(focal - lag(focal) OVER w) / (lag(focal) OVER w + 1e-8) ELSE 0 END AS df, orientation <> lag(orientation) OVER w AS oc, abs(ev - lag(ev) OVER w) AS de FROM o WINDOW w AS (PARTITION BY shoot_id ORDER BY global_index))"
+E_DUCK = "WITH e AS (SELECT user_id AS shoot_id, event_id, epoch_us(ts) / 1e6 AS timestamp, value AS focal, event_type AS orientation, ln(value + 1) / ln(2) AS ev FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY shoot_id ORDER BY timestamp, event_id::VARCHAR) - 1 AS global_index FROM e), l AS (SELECT *, timestamp - lag(timestamp) OVER w AS dt, CASE WHEN lag(focal) OVER w IS NULL THEN NULL WHEN lag(focal) OVER w > 0 THEN abs(focal - lag(focal) OVER w) / (lag(focal) OVER w + 1e-8) ELSE 0 END AS df, orientation <> lag(orientation) OVER w AS oc, abs(ev - lag(ev) OVER w) AS de FROM o WINDOW w AS (PARTITION BY shoot_id ORDER BY global_index))"
 S_DUCK = E_DUCK + ", b AS (SELECT *, coalesce(dt > 86400, false) AS s, coalesce(dt > 21600 OR df > 3 OR de > 1.5, false) AS bb FROM l), i AS (SELECT *, sum(s::INT) OVER w AS scene_id, sum((s OR bb)::INT) OVER w AS burst_id FROM b WINDOW w AS (PARTITION BY shoot_id ORDER BY global_index ROWS UNBOUNDED PRECEDING))"
 
 
