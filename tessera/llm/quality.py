@@ -1,15 +1,15 @@
 """Operator 5: quality rules on words and lines, and an n-gram perplexity band for each language.
 
 Base rules (counts of words, symbols, repeated lines and repeated five-word windows) come first. The method's verdict
-is a band: a language model of the whole corpus (see language_model) gives each document the mean ln P of its bytes;
-per language the quartiles of those means over all documents that pass the base rules span the band
+is a band: a language model of the corpus, each distinct text of a language counted once (see language_model), gives each document the
+mean ln P of its bytes; per language the quartiles of those means over the distinct texts that pass the base rules span the band
 ``[median - low * spread, median + high * spread]``, the spread being the larger of the interquartile range and
 ``least_spread``; the allowance for short documents grows by ``noise / sqrt(bytes)``. Documents outside are rejected: below is
 noise, above is text that repeats itself or its neighbours far beyond what the language does.
 
-Plan: one counting pass with partial sums by worker and by Spark, a model in shared Parquet, one scoring pass that
-writes a narrow table, quartiles by a mergeable sketch, and a join with one row for each language. Texts are never
-exchanged.
+Plan: one exchange of texts that drops copies (within each task first, so a hot group moves one row a task), a counting
+pass with partial sums by worker and by Spark, a model in shared Parquet, one scoring pass over the rows as they lie that
+writes a narrow table, quartiles by a mergeable sketch, and a join with one row for each language.
 
 Defined cases: a null text has no words (base_failed, not kept); a null language is a language of its own; a language
 with a single document has a band around it; rows are judged one by one, so repeated rows and ids and null ids are
@@ -119,7 +119,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("text_hash"))
     folder = new_folder(spark, "model")
-    kneser_ney(rows).write.parquet(folder)
+    kneser_ney(rows.select("text", "lang").distinct()).write.parquet(folder)  # copies count once: a text's copies would make it likely
     model = spark.read.parquet(folder)
     if model.count() <= (language_model.MAX_RESIDENT if max_resident is None else max_resident):
         return materialize(rows.mapInArrow(_scored(folder), _DDL), "scores")
@@ -137,7 +137,8 @@ def judge(docs: DataFrame, low: float = LOW, high: float = HIGH, noise: float =
     scores = score_documents(docs, max_resident=max_resident, **columns)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = scores.withColumn("base_failed", failed).withColumn("mean_log", F.when(F.col("n_bytes") > 0, F.col("log_sum") / F.col("n_bytes")))
-    quartiles = rows.where(~F.col("base_failed")).groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("mean_log", [0.25, 0.5, 0.75], 10_000).alias("q"))
+    texts = rows.where(~F.col("base_failed")).groupBy("lang", "text_hash").agg(F.max("mean_log").alias("mean_log"))
+    quartiles = texts.groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("mean_log", [0.25, 0.5, 0.75], 10_000).alias("q"))
     bands = quartiles.select("of", F.col("q")[1].alias("mid"), F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(least_spread)).alias("spread"))
     out = rows.join(bands, rows.lang.eqNullSafe(bands.of), "left")
     slack = F.lit(noise) / F.sqrt(F.greatest("n_bytes", F.lit(1)))
