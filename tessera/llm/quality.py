@@ -2,9 +2,10 @@
 
 Base rules (counts of words, symbols, repeated lines and repeated five-word windows) come first. The method's verdict
 is a band: a language model of the corpus, each distinct text of a language counted once (see language_model), gives each document the
-mean ln P of its bytes; per language the quartiles of those means over the distinct texts that pass the base rules span the band
-``[median - low * spread, median + high * spread]``, the spread being the larger of the interquartile range and
-``least_spread``; the allowance for short documents grows by ``noise / sqrt(bytes)``. Documents outside are rejected: below is
+mean ln P of its bytes. The distance from the language's median shrinks with ``1 / sqrt(bytes)``, so the quartiles of
+``distance * sqrt(bytes)`` over a language's distinct texts that pass the base rules give the spread of each side at any
+length; the limits lie ``low`` and ``high`` such spreads from the median. A spread counts as ``noise`` and a limit's
+distance as ``least_spread`` at least, and languages of few texts get wider limits (``FEW``). Documents outside are rejected: below is
 noise, above is text that repeats itself or its neighbours far beyond what the language does.
 
 Plan: one exchange of texts that drops copies (within each task first, so a hot group moves one row a task), a counting
@@ -30,7 +31,8 @@ from tessera.llm.language_model import _batch_keys, document_keys, kneser_ney, r
 from tessera.llm.storage import materialize, new_folder
 from tessera.llm.textspans import owners, per_document, repeated, span_hashes, text_slices, windows, words
 
-LOW, HIGH, NOISE, LEAST_SPREAD = 14.0, 10.0, 6.0, 0.04
+LOW, HIGH, NOISE, LEAST_SPREAD = 5.0, 5.0, 0.5, 0.02
+FEW = 25  # a language of this many texts gets limits twice as wide, as its quartiles say little
 WINDOW = 5
 #: The symbols that the base rules count.
 _SYMBOL = np.zeros(256, bool)
@@ -137,12 +139,15 @@ def judge(docs: DataFrame, low: float = LOW, high: float = HIGH, noise: float =
     scores = score_documents(docs, max_resident=max_resident, **columns)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = scores.withColumn("base_failed", failed).withColumn("mean_log", F.when(F.col("n_bytes") > 0, F.col("log_sum") / F.col("n_bytes")))
-    texts = rows.where(~F.col("base_failed")).groupBy("lang", "text_hash").agg(F.max("mean_log").alias("mean_log"))
-    quartiles = texts.groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("mean_log", [0.25, 0.5, 0.75], 10_000).alias("q"))
-    bands = quartiles.select("of", F.col("q")[1].alias("mid"), F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(least_spread)).alias("spread"))
+    texts = rows.where(~F.col("base_failed")).groupBy(F.col("lang").alias("of"), "text_hash").agg(F.max("mean_log").alias("mean_log"), F.max("n_bytes").alias("n_bytes"))
+    middles = texts.groupBy("of").agg(F.percentile_approx("mean_log", 0.5, 10_000).alias("mid"), F.count("*").alias("n_texts"))
+    away = texts.join(middles.withColumnRenamed("of", "lang"), F.col("of").eqNullSafe(F.col("lang")))
+    away = away.select("of", "mid", "n_texts", ((F.col("mean_log") - F.col("mid")) * F.sqrt("n_bytes")).alias("z"))
+    quartiles = away.groupBy("of", "mid", "n_texts").agg(F.percentile_approx("z", [0.25, 0.75], 10_000).alias("q"))
+    bands = quartiles.select("of", "mid", *((F.greatest(side, F.lit(noise)) * (1 + FEW / F.col("n_texts"))).alias(name) for name, side in (("down", -F.col("q")[0]), ("up", F.col("q")[1]))))
     out = rows.join(bands, rows.lang.eqNullSafe(bands.of), "left")
-    slack = F.lit(noise) / F.sqrt(F.greatest("n_bytes", F.lit(1)))
-    below, above = F.col("mid") - low * F.col("spread") - slack, F.col("mid") + high * F.col("spread") + slack
+    root = F.sqrt(F.greatest("n_bytes", F.lit(1)))
+    below, above = (F.col("mid") - F.greatest(low * F.col("down") / root, F.lit(least_spread)), F.col("mid") + F.greatest(high * F.col("up") / root, F.lit(least_spread)))
     kept = ~F.col("base_failed") & F.coalesce(F.col("mean_log").between(below, above), F.lit(True))
     return out.select("doc_id", "lang", "text_hash", *_COUNTS, "base_failed", "mean_log", below.alias("low"), above.alias("high"), kept.alias("kept"))
 
