@@ -2,14 +2,15 @@
 
 A text gets a blank in front, blanks become the vocabulary's blank mark, and pieces never reach over the start of a
 word, so words are encoded one by one. A word's agenda holds its candidate merges by score, then from left to right. The
-best one is taken off and either done or, if a keyed hash of (seed, epoch, word, draw, pair, place) falls below the
+best one is taken off and either done or, if a keyed hash of (seed, epoch, document, word number, word, pair, place) falls below the
 dropout rate, skipped for good; merges done add candidates with their new neighbours. So every segmentation is one that
 merges can reach, and with a rate of 0 it is the library's. Characters outside the vocabulary (and a blank mark that
 stands in the text) become byte pieces: decoding gives every text back byte for byte.
 
-Each occurrence of a word has one of ``DRAWS`` draws, by a hash of seed, epoch, document id and word number: that many
-segmentations of a word exist in an epoch, and each is computed once for a worker and looked up after that. Words of up
-to ``LONG`` characters are encoded many at a time with array operations, longer ones with a heap.
+Every occurrence of a word has hashes of its own. What a worker keeps for a word is its segmentation without dropout and
+the candidates that were tested on the way: an occurrence that skips none of them has that segmentation, any other one is
+segmented anew. Words of up to ``LONG`` characters are encoded many at a time with array operations, longer ones with a
+heap.
 
 One narrow pass, no exchange. Defined cases: a null or empty text has no pieces; rows are encoded one by one, so
 repeated rows give equal pieces; a null id hashes as 0.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from tessera.llm.textspans import mix, powers, text_slices
 from tessera.llm.wordcache import gather
 
-RATE, DRAWS, LONG = 0.1, 16, 96
+RATE, LONG = 0.1, 96
 CACHE_WORDS = 500_000
 _MARK, _NEVER = "▁", np.int32(2**31 - 1)
 _CODE_SALT = np.uint64(0xD1342543DE82EF95)
@@ -85,16 +86,23 @@ class PieceModel:
         return gather(self.content, self.content_begins[ids], self.content_sizes[ids])
 
 
-def skipped(keys: np.ndarray, pairs: np.ndarray, places: np.ndarray, rate: float) -> np.ndarray:
+def tested(pairs: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The part of a candidate's hash that its word's occurrences share."""
+    return mix(pairs.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + places.astype(np.uint64))
+
+
+def skipped(keys: np.ndarray, tests: np.ndarray, rate: float) -> np.ndarray:
     """Whether the keyed hash drops each candidate."""
     if rate <= 0:
         return np.zeros(len(keys), bool)
-    h = mix(keys ^ mix(pairs.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + places.astype(np.uint64)))
-    return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 < rate
+    return (mix(keys ^ tests) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < rate
 
 
-def segment_together(model: PieceModel, symbols: np.ndarray, keys: np.ndarray, rate: float) -> np.ndarray:
-    """Agenda processing of many words at once. symbols: words x places, -1 after a word's end; returns what is left."""
+def segment_together(model: PieceModel, symbols: np.ndarray, keys: np.ndarray, rate: float, seen: list | None = None) -> np.ndarray:
+    """Agenda processing of many words at once. symbols: words x places, -1 after a word's end; returns what is left.
+
+    ``seen`` gets (words, tests) of the candidates taken off.
+    """
     n, width = symbols.shape
     sym = symbols.copy()
     if width < 2:
@@ -114,7 +122,10 @@ def segment_together(model: PieceModel, symbols: np.ndarray, keys: np.ndarray, r
             break
         right = after[rows, at]
         pairs = sym[rows, at].astype(np.int64) * model.size + sym[rows, right]
-        drop = skipped(keys[rows], pairs, at, rate)
+        tests = tested(pairs, at)
+        if seen is not None:
+            seen.append((rows, tests))
+        drop = skipped(keys[rows], tests, rate)
         rank[rows[drop], at[drop]] = _NEVER
         i, j, k = rows[~drop], at[~drop], right[~drop]
         sym[i, j] = piece[i, j]
@@ -134,7 +145,7 @@ def segment_together(model: PieceModel, symbols: np.ndarray, keys: np.ndarray, r
     return sym
 
 
-def segment_alone(model: PieceModel, symbols: np.ndarray, key: int, rate: float) -> np.ndarray:
+def segment_alone(model: PieceModel, symbols: np.ndarray, key: int, rate: float, seen: list | None = None) -> np.ndarray:
     """The same for one long word, with a heap as the agenda."""
     n = len(symbols)
     sym = symbols.tolist()
@@ -163,7 +174,10 @@ def segment_alone(model: PieceModel, symbols: np.ndarray, key: int, rate: float)
             continue
         del table[at]
         right = after[at]
-        if skipped(keys, np.array([sym[at] * model.size + sym[right]]), np.array([at]), rate)[0]:
+        tests = tested(np.array([sym[at] * model.size + sym[right]]), np.array([at]))
+        if seen is not None:
+            seen.append((np.zeros(1, np.int64), tests))
+        if skipped(keys, tests, rate)[0]:
             continue
         sym[at], sym[right] = now[1], -1
         table.pop(right, None)
@@ -176,29 +190,37 @@ def segment_alone(model: PieceModel, symbols: np.ndarray, key: int, rate: float)
     return np.array(sym, np.int32)
 
 
+class Pool:
+    """Growing arrays of numbered lists."""
+
+    def __init__(self, dtype: type):
+        self.begins, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.flat, self.used, self.n = np.zeros(4096, dtype), 0, 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        while self.n + len(sizes) > len(self.sizes):
+            self.begins, self.sizes = np.resize(self.begins, 2 * len(self.begins)), np.resize(self.sizes, 2 * len(self.sizes))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.begins[self.n : self.n + len(sizes)], self.sizes[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used, self.n = self.used + len(flat), self.n + len(sizes)
+
+    def get(self, which: np.ndarray) -> np.ndarray:
+        return gather(self.flat, self.begins[which], self.sizes[which])
+
+
 class PieceEncoder:
-    """Encodes slices of documents; keeps segmentations of (word, draw)."""
+    """Encodes slices of documents; keeps each word's segmentation without dropout and the candidates tested for it."""
 
-    def __init__(self, path: str, rate: float, seed: int, draws: int):
-        self.model, self.rate, self.draws = PieceModel(path), rate, draws if rate > 0 else 1
-        self.seed = mix(np.array([seed], np.uint64))[0]
+    def __init__(self, path: str, rate: float, seed: int, epoch: int):
+        self.model, self.rate = PieceModel(path), rate
+        self.seed = mix(mix(np.array([seed], np.int64).view(np.uint64)) ^ np.array([epoch], np.int64).view(np.uint64))[0]
         self.reset()
 
     def reset(self) -> None:
         self.known: dict[int, int] = {}
-        self.begins, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.pool, self.used = np.zeros(4096, np.uint32), 0
-
-    def _keep(self, keys: list[int], flat: np.ndarray, sizes: np.ndarray) -> None:
-        n, at = len(self.known), self.used
-        while n + len(keys) > len(self.sizes):
-            self.begins, self.sizes = np.resize(self.begins, 2 * len(self.begins)), np.resize(self.sizes, 2 * len(self.sizes))
-        while at + len(flat) > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.pool[at : at + len(flat)] = flat
-        self.begins[n : n + len(keys)], self.sizes[n : n + len(keys)] = at + np.cumsum(sizes) - sizes, sizes
-        self.used += len(flat)
-        self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.ids, self.tests = Pool(np.uint32), Pool(np.uint64)
 
     def _ids(self, left: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Byte pieces in place of characters without a piece; (flat ids, ids of each word)."""
@@ -209,30 +231,49 @@ class PieceEncoder:
             left = np.array([i for x in parts for i in x])
         return left.astype(np.uint32), np.bincount(owner, minlength=n).astype(np.int64)
 
-    def _learn(self, keys: np.ndarray, symbols: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> None:
+    def _segment(self, keys: np.ndarray, symbols: np.ndarray, begins: np.ndarray, sizes: np.ndarray, rate: float, record: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
+        """(words, flat ids, ids of each word, candidates tested) of groups of words of nearly the same length."""
         order = np.argsort(sizes, kind="stable")
+        ordered = sizes[order]
         a = 0
         while a < len(order):
-            width = int(sizes[order[a]])
+            width = int(ordered[a])
             if width > LONG:
                 break
-            top = width + max(1, width // 4)  # words of nearly the same length go together
-            b = min(a + 20_000, int(np.searchsorted(sizes[order], min(top, LONG), "right")))
+            top = width + max(1, width // 4)
+            b = min(a + 20_000, int(np.searchsorted(ordered, min(top, LONG), "right")))
             rows = order[a:b]
             most = int(sizes[rows[-1]])
             place = np.arange(most)
             inside = place[None, :] < sizes[rows][:, None]
             matrix = np.where(inside, symbols[np.minimum(begins[rows][:, None] + place, len(symbols) - 1)], -1)
-            left = segment_together(self.model, matrix, keys[rows], self.rate)
+            seen: list = []
+            left = segment_together(self.model, matrix, keys[rows], rate, seen if record else None)
             own, at = np.nonzero(left != -1)
-            flat, counts = self._ids(left[own, at], own, len(rows))
-            self._keep(keys[rows].tolist(), flat, counts)
+            yield rows, *self._ids(left[own, at], own, len(rows)), seen
             a = b
         for i in order[a:].tolist():
-            left = segment_alone(self.model, symbols[begins[i] : begins[i] + sizes[i]], int(keys[i]), self.rate)
+            seen = []
+            left = segment_alone(self.model, symbols[begins[i] : begins[i] + sizes[i]], int(keys[i]), rate, seen if record else None)
             left = left[left != -1]
-            flat, counts = self._ids(left, np.zeros(len(left), np.int64), 1)
-            self._keep([int(keys[i])], flat, counts)
+            yield np.array([i]), *self._ids(left, np.zeros(len(left), np.int64), 1), seen
+
+    def _learn(self, keys: np.ndarray, symbols: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> None:
+        for rows, flat, counts, seen in self._segment(keys, symbols, begins, sizes, 0.0, self.rate > 0):
+            self.known.update(zip(keys[rows].tolist(), range(self.ids.n, self.ids.n + len(rows)), strict=True))
+            self.ids.add(flat, counts)
+            own = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in seen)])
+            tests = np.concatenate([np.zeros(0, np.uint64), *(x[1] for x in seen)])
+            self.tests.add(tests[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(rows)))
+
+    def _varied(self, place: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The occurrences (words ``place``, own ``keys``) that skip a candidate."""
+        found = []
+        for a in range(0, len(place), 200_000):
+            n = self.tests.sizes[place[a : a + 200_000]]
+            owner = np.repeat(np.arange(a, a + len(n)), n)
+            found.append(np.unique(owner[skipped(keys[owner], self.tests.get(place[a : a + 200_000]), self.rate)]))
+        return np.concatenate(found)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, doc_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(flat uint32 ids, ids of each document)."""
@@ -264,9 +305,7 @@ class PieceEncoder:
         np.cumsum(mix(codes.astype(np.uint64) + _CODE_SALT) * power[:-1], out=sums[1:])
         keys = mix((sums[begins + sizes] - sums[begins]) * inverse[begins] + sizes.astype(np.uint64))
         number = np.arange(len(begins)) - np.searchsorted(owner, owner)
-        if self.draws > 1:
-            draw = mix(mix(doc_keys[full][owner] ^ self.seed) + number.astype(np.uint64)) % np.uint64(self.draws)
-            keys = mix(keys ^ mix(draw + self.seed))
+        symbols = self.model.chars[codes]
         which, distinct = pd.factorize(keys)
         if len(self.known) + len(distinct) > CACHE_WORDS:
             self.reset()
@@ -274,21 +313,40 @@ class PieceEncoder:
         sample[which[::-1]] = np.arange(len(which) - 1, -1, -1)
         new = np.flatnonzero(np.fromiter((k not in self.known for k in distinct.tolist()), bool, len(distinct)))
         if len(new):
-            self._learn(distinct[new], self.model.chars[codes], begins[sample[new]], sizes[sample[new]])
+            self._learn(distinct[new], symbols, begins[sample[new]], sizes[sample[new]])
         place = np.fromiter(map(self.known.__getitem__, distinct.tolist()), np.int64, len(distinct))[which]
+        n_ids = self.ids.sizes[place]
         counts = np.zeros(n_docs, np.int64)
-        counts[full] = np.bincount(owner, self.sizes[place], len(full)).astype(np.int64)
-        return gather(self.pool, self.begins[place], self.sizes[place]), counts
+        varied = np.zeros(0, np.int64)
+        if self.rate > 0:
+            own = mix(keys ^ mix(mix(doc_keys[full][owner] ^ self.seed) + number.astype(np.uint64)))
+            varied = self._varied(place, own)
+        if not len(varied):
+            counts[full] = np.bincount(owner, n_ids, len(full)).astype(np.int64)
+            return self.ids.get(place), counts
+        fresh = Pool(np.uint32)
+        at = np.zeros(len(varied), np.int64)
+        for rows, flat, sizes_of, _ in self._segment(own[varied], symbols, begins[varied], sizes[varied], self.rate, False):
+            at[rows] = np.arange(fresh.n, fresh.n + len(rows))
+            fresh.add(flat, sizes_of)
+        n_ids[varied] = fresh.sizes[at]
+        counts[full] = np.bincount(owner, n_ids, len(full)).astype(np.int64)
+        changed = np.zeros(len(place), bool)
+        changed[varied] = True
+        mine = np.repeat(changed, n_ids)
+        out = np.empty(len(mine), np.uint32)
+        out[mine], out[~mine] = fresh.get(at), self.ids.get(place[~changed])
+        return out, counts
 
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
-def piece_encoder(path: str, rate: float, seed: int, draws: int) -> PieceEncoder:
-    key = (path, rate, seed, draws)
+def piece_encoder(path: str, rate: float, seed: int, epoch: int) -> PieceEncoder:
+    key = (path, rate, seed, epoch)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = PieceEncoder(path, rate, seed, draws)
+        _ENCODERS[key] = PieceEncoder(path, rate, seed, epoch)
     return _ENCODERS[key]
 
 
@@ -296,12 +354,12 @@ def _doc_keys(column: pa.Array) -> np.ndarray:
     return mix(column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
 
 
-def encode_pieces(docs: DataFrame, vocabulary: str, rate: float = RATE, seed: int = 0, draws: int = DRAWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, vocabulary: str, rate: float = RATE, seed: int = 0, epoch: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, pieces): the piece ids of every whole text."""
     schema = pa.schema([("doc_id", pa.int64()), ("pieces", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = piece_encoder(vocabulary, rate, seed, draws)
+        encoder = piece_encoder(vocabulary, rate, seed, epoch)
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(1)):
                 ids = batch.column(0).slice(a, b - a)
@@ -316,7 +374,7 @@ def decode_pieces(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, text) of (doc_id, pieces)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = piece_encoder(vocabulary, 0.0, 0, 1).model
+        model = piece_encoder(vocabulary, 0.0, 0, 0).model
         for batch in batches:
             pieces = batch.column(1)
             texts = [None if p is None else model.decode(np.array(p, np.int64)).tobytes()[1:].decode("utf-8", "replace") for p in pieces.to_pylist()]
@@ -325,12 +383,12 @@ def decode_pieces(encoded: DataFrame, vocabulary: str) -> DataFrame:
     return encoded.select("doc_id", "pieces").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, rate: float = RATE, seed: int = 0, draws: int = DRAWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str, rate: float = RATE, seed: int = 0, epoch: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids) and lossless (decoding gives the text back)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("lossless", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = piece_encoder(vocabulary, rate, seed, draws)
+        encoder = piece_encoder(vocabulary, rate, seed, epoch)
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(1)):
                 ids = batch.column(0).slice(a, b - a)
