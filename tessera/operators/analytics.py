@@ -8,6 +8,9 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.session import cut
+from tessera.operators.selection import with_position
+
 
 def distributions(frames: DataFrame, columns: list[str]) -> DataFrame:
     """mean, std (population), min and max of each column."""
@@ -27,13 +30,26 @@ def pearson(frames: DataFrame, columns: list[str], redundant: float = 0.90) -> D
     return out.withColumns({"redundant": F.abs("r") > redundant, "verdict": F.when(F.abs("r") < 0.5, "orthogonal").otherwise("correlated")})
 
 
+def rows_below(frames: DataFrame, column: str) -> DataFrame:
+    """(value, n, below): rows of each distinct value of a column and rows under it; a null value has no place.
+
+    Ranges of values are summed side by side; each range starts from the totals of those before it.
+    """
+    n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = frames.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    ranged = cut(values.repartitionByRange(n, "value").withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    bases = ranged.groupBy("part").agg(F.sum("n").alias("t")).select("part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(F.broadcast(bases), "part").select("value", "n", (F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("below"))
+
+
 def average_ranks(frames: DataFrame, columns: list[str]) -> DataFrame:
-    """r_<column>: average rank of ties, ascending from 1. Ranks come from counts by distinct value."""
+    """r_<column>: average rank of ties, ascending from 1 (null for null). Ranks come from counts by distinct value."""
     out = frames
     for c in columns:
-        values = frames.groupBy(c).agg(F.count("*").alias("_n"))
-        below = F.coalesce(F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        out = out.join(values.select(c, (below + (F.col("_n") + 1) / 2).alias(f"r_{c}")), c)
+        ranks = rows_below(frames, c).select(F.col("value").alias("_v"), (F.col("below") + (F.col("n") + 1) / 2).alias(f"r_{c}"))
+        out = out.join(ranks, F.col(c) == F.col("_v"), "left").drop("_v")
     return out
 
 
@@ -88,17 +104,39 @@ def residuals(frames: DataFrame, a: str, b: str) -> DataFrame:
     return frames.agg(F.avg(d).alias("mean"), F.stddev_pop(d).alias("std"), F.count_if(d > 0.5).alias("n_above"), F.count_if(d < -0.5).alias("n_below"))
 
 
+def residual_extremes(frames: DataFrame, a: str, b: str, k: int = 5, key: str = "global_index") -> DataFrame:
+    """The k rows of largest and of smallest difference: side (above, below), key, both values and the residual."""
+    rows = frames.select(key, a, b, (F.col(a) - F.col(b)).alias("residual"))
+    above, below = top_k(rows, "residual", k, key), top_k(rows, "residual", k, key, largest=False)
+    return above.withColumn("side", F.lit("above")).unionByName(below.withColumn("side", F.lit("below")))
+
+
+def category_counts(frames: DataFrame, shoot: str = "shoot_id") -> DataFrame:
+    """Rows of each visual category of a shoot, and how many of them are degraded or failed the gate."""
+    return frames.groupBy(shoot, "visual_category").agg(F.count("*").alias("n"), F.count_if("degraded").alias("n_degraded"), F.count_if(~F.col("technical_gate_pass")).alias("n_failed"))
+
+
+def enriched(frames: DataFrame, columns: list[str], loadings, key: str = "global_index") -> DataFrame:
+    """key, star_rating, places by the first column and by consensus and their shift, z values and up to three components."""
+    from tessera.operators.scoring import project
+
+    names = {f"PC{i + 1}": i for i in range(min(len(columns), 3))}
+    rows = project(frames, [f"z_{c}" for c in columns], loadings, **names)
+    rows = with_position(rows, f"{columns[0]}_rank", F.col(columns[0]).desc(), F.col(key))
+    rows = with_position(rows, "consensus_rank", F.col("z_consensus").desc(), F.col(key))
+    shift = (F.col("consensus_rank") - F.col(f"{columns[0]}_rank")).alias("rank_shift")
+    return rows.select(key, "star_rating", f"{columns[0]}_rank", "consensus_rank", shift, "z_consensus", "z_disagreement", *names, *(f"z_{c}" for c in columns))
+
+
 def label_counts(frames: DataFrame) -> DataFrame:
     return frames.agg(*(F.count_if(F.col("label") == c).alias(f"n_{c.lower()}") for c in ("Red", "Purple", "Green")), F.count_if(F.col("label") == "").alias("n_none"))
 
 
 def strict_percentile(frames: DataFrame, score: str) -> DataFrame:
-    """percentile: share of rows strictly below, times 100; counted on distinct values."""
-    values = frames.groupBy(score).agg(F.count("*").alias("_n"))
+    """percentile: share of all rows strictly below, times 100 (null for null); counted on distinct values."""
     total = frames.agg(F.count("*").alias("_total"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = values.select(score, below.alias("_below")).crossJoin(F.broadcast(total)).select(score, (F.col("_below") / F.col("_total") * 100).alias("percentile"))
-    return frames.join(ranked, score)
+    ranked = rows_below(frames, score).crossJoin(F.broadcast(total)).select(F.col("value").alias("_v"), (F.col("below") / F.col("_total") * 100).alias("percentile"))
+    return frames.join(ranked, F.col(score) == F.col("_v"), "left").drop("_v")
 
 
 def rank_flips(frames: DataFrame, a: str, b: str, scene: str = "scene_id", key: str = "global_index") -> DataFrame:
@@ -112,9 +150,8 @@ def rank_flips(frames: DataFrame, a: str, b: str, scene: str = "scene_id", key:
 
 def rank_shift(frames: DataFrame, a: str, b: str, key: str = "global_index", share: float = 0.10, top: int = 10) -> DataFrame:
     """The rows whose ranks by two scores differ most, over a share of all rows."""
-    from tessera.operators.selection import ordinal_rank
-
-    ranked = frames.select(key, ordinal_rank(F.col(a), key).alias("rank_a"), ordinal_rank(F.col(b), key).alias("rank_b"), F.count("*").over(Window.partitionBy()).alias("_n"))
+    by_a = with_position(frames.select(key, a, b), "rank_a", F.col(a).desc(), F.col(key))
+    ranked = with_position(by_a, "rank_b", F.col(b).desc(), F.col(key)).crossJoin(F.broadcast(frames.agg(F.count("*").alias("_n"))))
     moved = ranked.withColumn("shift", F.abs(F.col("rank_a") - F.col("rank_b"))).where(F.col("shift") > share * F.col("_n"))
     return moved.select(key, "rank_a", "rank_b", "shift").orderBy(F.col("shift").desc(), key).limit(top)
 

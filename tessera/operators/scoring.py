@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import config
+from tessera.functions.session import cut
 
 LOW = float("-inf")
 
@@ -59,6 +60,12 @@ def pca(frames: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(k), np.zeros((k, k))
     row = frames.agg(*(F.covar_samp(a, b).alias(f"{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j)).first()
     m = np.array([[row[f"{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
+    return components(m)
+
+
+def components(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Explained shares and loadings of a covariance matrix, by falling share."""
+    k = len(m)
     values, vectors = np.linalg.eigh(m)
     values, vectors = values[::-1], vectors[:, ::-1]
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(k)])
@@ -97,21 +104,21 @@ def bootstrap_thresholds(frames: DataFrame, score: str, shoot: str = "shoot_id",
 
 def rate(frames: DataFrame, score: str, thresholds: DataFrame, shoot: str = "shoot_id") -> DataFrame:
     """star_rating 1..5; scores that aren't finite get 1; a shoot of equal scores gets 3."""
-    finite = F.abs(score) != float("inf")
+    finite = F.col(score).isNotNull() & (F.abs(score) != float("inf")) & ~F.isnan(score)
     span = frames.groupBy(shoot).agg((F.max(F.when(finite, F.col(score))) - F.min(F.when(finite, F.col(score)))).alias("_span"))
     s = F.col(score)
-    stars = F.when(F.col("_span") < 1e-8, 3).when(~finite | s.isNull(), 1).when(s >= F.col("q4"), 5).when(s >= F.col("q3"), 4).when(s >= F.col("q2"), 3).when(s >= F.col("q1"), 2).otherwise(1)
+    stars = F.when(F.col("_span") < 1e-8, 3).when(~finite, 1).when(s >= F.col("q4"), 5).when(s >= F.col("q3"), 4).when(s >= F.col("q2"), 3).when(s >= F.col("q1"), 2).otherwise(1)
     return frames.join(thresholds, shoot, "left").join(span, shoot, "left").withColumn("star_rating", stars.cast("int")).drop("_span", "q1", "q2", "q3", "q4")
 
 
 def z_by_camera(frames: DataFrame, column: str, degraded: str | None = None, camera: str = "camera_body") -> DataFrame:
     """z of a column within each camera, degraded rows left out of the statistics."""
     value = F.col(column) if degraded is None else F.when(~F.col(degraded), F.col(column))
-    stats = frames.groupBy(camera).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    return frames.join(stats, camera).withColumn(f"z_{column}", (F.col(column) - F.col("_m")) / F.when(F.col("_s") < 1e-8, 1.0).otherwise(F.col("_s"))).drop("_m", "_s")
+    stats = frames.groupBy(F.col(camera).alias("_camera")).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    return frames.join(stats, F.col(camera).eqNullSafe(F.col("_camera"))).drop("_camera").withColumn(f"z_{column}", (F.col(column) - F.col("_m")) / F.when(F.col("_s") < 1e-8, 1.0).otherwise(F.col("_s"))).drop("_m", "_s")
 
 
-def detect_categories(frames: DataFrame, vector: str = "embedding", most: int = 5, threshold: float = 0.25, seed: int = 42, sample: int = 1000) -> DataFrame:
+def detect_categories(frames: DataFrame, vector: str = "embedding", key: str = "global_index", most: int = 5, threshold: float = 0.25, seed: int = 42, sample: int = 1000) -> DataFrame:
     """visual_category by k-means for the k of largest mean silhouette, -1 where it is under the threshold or rows are few."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -119,11 +126,11 @@ def detect_categories(frames: DataFrame, vector: str = "embedding", most: int =
     n = frames.count()
     if n < 10:
         return frames.withColumn("visual_category", F.lit(-1))
-    data = frames.withColumn("_features", array_to_vector(F.col(vector).cast("array<double>"))).cache()
+    data = cut(frames.withColumn("_features", array_to_vector(F.col(vector).cast("array<double>"))))
     best, chosen = -1.0, None
     for k in range(2, min(most, n - 1) + 1):
         labelled = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="visual_category").fit(data).transform(data)
-        s = silhouette(labelled.orderBy(F.xxhash64(vector)).limit(sample), vector, "visual_category")
+        s = silhouette(labelled.orderBy(F.xxhash64(key), key).limit(sample), vector, "visual_category", key)
         if s > best:
             best, chosen = s, labelled
     if chosen is None or best < threshold:
@@ -131,9 +138,9 @@ def detect_categories(frames: DataFrame, vector: str = "embedding", most: int =
     return chosen.drop("_features")
 
 
-def silhouette(frames: DataFrame, vector: str, labels: str) -> float:
-    """Mean Euclidean silhouette of a bounded sample (the caller's limit), by a self join."""
-    rows = frames.select(F.xxhash64(vector).alias("i"), F.col(vector).alias("v"), F.col(labels).alias("c"))
+def silhouette(frames: DataFrame, vector: str, labels: str, key: str) -> float:
+    """Mean Euclidean silhouette of a bounded sample (the caller's limit) with unique keys, by a self join."""
+    rows = frames.select(F.col(key).alias("i"), F.col(vector).alias("v"), F.col(labels).alias("c"))
     other = rows.select(F.col("i").alias("j"), F.col("v").alias("w"), F.col("c").alias("d"))
     gap = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y).cast("double") * (x - y)), F.lit(0.0), lambda a, x: a + x))
     means = rows.join(other, F.col("i") != F.col("j")).groupBy("i", "c", "d").agg(F.avg(gap).alias("m"))
@@ -143,17 +150,22 @@ def silhouette(frames: DataFrame, vector: str, labels: str) -> float:
 
 
 class PositiveUnlabeled:
-    """Logistic regression on positives against the rest; the probability divided by the labelled share c, within 0..1."""
+    """Logistic regression on positives against the rest; the probability divided by the labelled share c, within 0..1.
+
+    ``update`` adds rows to those seen so far and fits on all of them.
+    """
 
     def __init__(self, features: list[str], label: str, c: float = 0.5, least: int = 50):
-        self.features, self.label, self.c, self.least, self.model, self.n = features, label, c, least, None, 0
+        self.features, self.label, self.c, self.least, self.model, self.n, self.seen = features, label, c, least, None, 0, None
 
     def update(self, rows: DataFrame) -> PositiveUnlabeled:
         from pyspark.ml.classification import LogisticRegression
         from pyspark.ml.feature import VectorAssembler
 
-        weighted = VectorAssembler(inputCols=self.features, outputCol="_x").transform(rows).withColumn("_w", F.when(F.col(self.label) == 1, 1 / self.c).otherwise(1.0))
-        self.n += rows.where(F.col(self.label) == 1).count()
+        new = rows.select(*self.features, F.col(self.label).cast("double").alias(self.label))
+        self.seen = cut(new if self.seen is None else self.seen.unionByName(new))
+        weighted = VectorAssembler(inputCols=self.features, outputCol="_x").transform(self.seen).withColumn("_w", F.when(F.col(self.label) == 1, 1 / self.c).otherwise(1.0))
+        self.n = self.seen.where(F.col(self.label) == 1).count()
         self.model = LogisticRegression(featuresCol="_x", labelCol=self.label, weightCol="_w", maxIter=50).fit(weighted)
         return self
 

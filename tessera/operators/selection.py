@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions import scalar
+from tessera.functions.session import cut
 
 
 def pair_distances(vectors: DataFrame, key: str, scene: str, vector: str) -> DataFrame:
@@ -57,33 +58,38 @@ def average_linkage(x: np.ndarray, cut: float) -> np.ndarray:
     return np.array([int(np.flatnonzero(order == r)[0]) for r in root])
 
 
-def cluster_scenes(vectors: DataFrame, key: str, scene: str, vector: str, cut: float = config.CLUSTER_DISTANCE) -> DataFrame:
-    """(scene, key, local_label) by average linkage in each scene; memory grows with the square of a scene's rows."""
+def cluster_scenes(vectors: DataFrame, key: str, scene: str | list[str], vector: str, cut: float = config.CLUSTER_DISTANCE) -> DataFrame:
+    """(scene, key, local_label) by average linkage in each scene (named by one or more columns).
+
+    Memory grows with the square of a scene's rows.
+    """
     kinds = dict(vectors.dtypes)
+    scenes = [scene] if isinstance(scene, str) else list(scene)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(key)
         x = np.stack([np.asarray(v, np.float64) for v in part[vector]])
         x = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
-        return pd.DataFrame({scene: part[scene], key: part[key], "local_label": average_linkage(x, cut)})
+        return part[[*scenes, key]].assign(local_label=average_linkage(x, cut))
 
-    return vectors.select(scene, key, vector).groupBy(scene).applyInPandas(run, f"{scene} {kinds[scene]}, {key} {kinds[key]}, local_label long")
+    ddl = ", ".join(f"{c} {kinds[c]}" for c in (*scenes, key))
+    return vectors.select(*scenes, key, vector).groupBy(*scenes).applyInPandas(run, f"{ddl}, local_label long")
 
 
-def global_cluster_ids(clusters: DataFrame, scene: str, label: str = "local_label") -> DataFrame:
-    """cluster_id over all scenes, ascending by scene and label; numbered on one row for each cluster."""
-    names = clusters.select(scene, label).distinct()
-    return clusters.join(names.withColumn("cluster_id", F.row_number().over(Window.orderBy(scene, label)).cast("long") - 1), [scene, label])
+def global_cluster_ids(clusters: DataFrame, scene: str, label: str = "local_label", shoot: str = "shoot_id") -> DataFrame:
+    """cluster_id over all scenes of a shoot, ascending by scene and label; numbered on one row for each cluster."""
+    names = clusters.select(shoot, scene, label).distinct()
+    return clusters.join(names.withColumn("cluster_id", F.row_number().over(Window.partitionBy(shoot).orderBy(scene, label)).cast("long") - 1), [shoot, scene, label])
 
 
-def pick(frames: DataFrame, cluster: str = "cluster_id", primary: str = "composite_relevance", other: str = "qualiclip_score", key: str = "global_index") -> DataFrame:
-    """selected, aesthetic_disagreement and cluster_agreement.
+def pick(frames: DataFrame, cluster: str = "cluster_id", primary: str = "composite_relevance", other: str = "qualiclip_score", key: str = "global_index", shoot: str = "shoot_id") -> DataFrame:
+    """selected, aesthetic_disagreement and cluster_agreement, for each cluster of a shoot.
 
     The primary pick is the best gate-passing row (the best of all where none passes); the best gate-passing row by the
     other scorer is a second pick if the cluster has two passing rows and it differs.
     """
     gate = F.col("technical_gate_pass")
-    w = Window.partitionBy(cluster)
+    w = Window.partitionBy(shoot, cluster)
     ranked = frames.withColumns(
         {
             "_first": F.row_number().over(w.orderBy(gate.desc(), F.col(primary).desc(), key)),
@@ -110,8 +116,11 @@ def with_label(frames: DataFrame) -> DataFrame:
     return frames.withColumn("label", scalar.label(F.col("selected"), F.col("aesthetic_disagreement"), F.col("technical_gate_pass")))
 
 
-def match_features(items: DataFrame, features: DataFrame, on: str = "filename") -> DataFrame:
-    """Items with their features and ``matched``; of features with one name the last (by row order key) counts."""
+def match_features(items: DataFrame, features: DataFrame, on: str = "filename", order: str | None = None) -> DataFrame:
+    """Items with their features and ``matched``; of features with one name the last by ``order`` counts."""
+    if order is not None:
+        others = [c for c in features.columns if c != on]
+        features = features.groupBy(on).agg(F.max_by(F.struct(*others), order).alias("_f")).select(on, "_f.*")
     return items.join(features.withColumn("matched", F.lit(True)), on, "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
@@ -161,6 +170,19 @@ def diverse_top_k(vectors: DataFrame, key: str, group: str, vector: str, quality
     return vectors.select(group, key, vector, quality).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, rank long")
 
 
+def with_position(frames: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``name``: 0-based place of each row among all rows, which ``order`` must tell apart.
+
+    Ranges of the order are sorted side by side; each range's first place comes from the counts of those before it.
+    """
+    n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(frames.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    bases = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    placed = ranged.join(F.broadcast(bases), "_range").withColumn(name, F.col("_base") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
+    return placed.drop("_range", "_base")
+
+
 def ordinal_rank(score: Column, key: str, *partition: str) -> Column:
     """0-based rank by falling score, ties by key."""
     return F.row_number().over(Window.partitionBy(*partition).orderBy(score.desc(), key)).cast("long") - 1

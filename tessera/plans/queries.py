@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar
-from tessera.functions.session import reachable
+from tessera.functions.session import cut, reachable
 from tessera.operators import analytics, scoring, selection, sequence
-from tessera.plans.pipeline import select_frames
+from tessera.plans.pipeline import run_selection, select_frames
 from tessera.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,7 +56,7 @@ COLS = list(WEIGHTS)
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(SCORES_SQL, lineitem=_table(spark, sf, "lineitem"), part=_table(spark, sf, "part")).withColumn("shoot_id", F.lit(1))
+    return cut(spark.sql(SCORES_SQL, lineitem=_table(spark, sf, "lineitem"), part=_table(spark, sf, "part")).withColumn("shoot_id", F.lit(1)))
 
 
 def gated(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,8 +87,8 @@ def consensus_frames(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def picked_frames(spark: SparkSession, sf: str) -> DataFrame:
-    frames = consensus_frames(spark, sf).withColumn("composite_relevance", r6("z_consensus"))
-    return selection.with_label(selection.selection_floor(selection.pick(frames)))
+    frames = cut(consensus_frames(spark, sf).withColumn("composite_relevance", r6("z_consensus")))
+    return cut(selection.with_label(selection.selection_floor(cut(selection.pick(frames)))))
 
 
 def starred_frames(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,7 +198,7 @@ def strict_percentile(spark, sf):
 
 @query(A + " SELECT global_index, row_number() OVER (ORDER BY deqa_score DESC, global_index) - 1 AS position FROM a")
 def ordinal_rank(spark, sf):
-    return scores(spark, sf).select("global_index", selection.ordinal_rank(F.col("deqa_score"), "global_index", "shoot_id").alias("position"))
+    return selection.with_position(scores(spark, sf).select("global_index", "deqa_score"), "position", F.col("deqa_score").desc(), F.col("global_index")).select("global_index", "position")
 
 
 @query(A + " SELECT count(*) AS n_pairs, count(*) FILTER ((x.deqa_score - y.deqa_score) * (x.qalign_score - y.qalign_score) < 0) AS n_flips FROM a x JOIN a y USING (scene_id) WHERE x.global_index < y.global_index")
@@ -216,19 +216,34 @@ def most_controversial(spark, sf):
     return analytics.top_k(consensus_frames(spark, sf).select("global_index", r6("z_disagreement").alias("z_disagreement")), "z_disagreement", 10)
 
 
-@query()
+@query(A + ", ar AS (SELECT rank() OVER (ORDER BY deqa_score) + (count(*) OVER (PARTITION BY deqa_score) - 1) / 2.0 AS x, rank() OVER (ORDER BY qalign_score) + (count(*) OVER (PARTITION BY qalign_score) - 1) / 2.0 AS y FROM a), c AS (SELECT corr(x, y) AS r FROM ar) SELECT floor(r*1e6+0.5)/1e6 AS rho, CASE WHEN r > 0.98 THEN 'adopt' WHEN r > 0.95 THEN 'borderline' ELSE 'keep' END AS verdict FROM c")
 def batch_verdict(spark, sf):
-    return analytics.batch_verdict(scores(spark, sf), "deqa_score", "qalign_score")
+    return analytics.batch_verdict(scores(spark, sf), "deqa_score", "qalign_score").withColumn("rho", r6("rho"))
+
 
+_CELLS = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, covar_samp(z_{a}, z_{b}) AS c FROM z" for i, a in enumerate(COLS) for j, b in enumerate(COLS))
 
-@query(A + " SELECT round(sum(var_samp_)::DOUBLE, 4) AS trace FROM (" + " UNION ALL ".join(f"SELECT var_samp(({c} - m) / s) AS var_samp_ FROM a, (SELECT avg({c}) AS m, stddev_pop({c}) AS s FROM a)" for c in COLS) + ")")
+
+@query(Z + f", m AS ({_CELLS}), m2 AS (SELECT x.i, y.j, sum(x.c * y.c) AS c FROM m x JOIN m y ON x.j = y.i GROUP BY x.i, y.j) SELECT round((SELECT sum(c) FROM m WHERE i = j), 4) AS sum_1, round((SELECT sum(c) FROM m2 WHERE i = j), 4) AS sum_2, round((SELECT sum(x.c * y.c) FROM m2 x JOIN m y ON x.i = y.j AND x.j = y.i), 4) AS sum_3, round((SELECT sum(c * c) FROM m2), 4) AS sum_4, 0.0::DOUBLE AS largest_covariance, true AS falling")
 def principal_components(spark, sf):
-    """STAT-5: the variances of the projections add up to the covariance's trace."""
-    z = scoring.z_columns(scores(spark, sf), COLS)
+    """STAT-5: the components' variances have the power sums of the covariance's eigenvalues, and don't covary."""
+    z = cut(scoring.z_columns(scores(spark, sf), COLS))
     names = [f"z_{c}" for c in COLS]
-    _, loadings = scoring.pca(z, names)
-    p = scoring.project(z, names, loadings, pc1=0, pc2=1, pc3=2, pc4=3)
-    return p.agg(F.round(sum((F.var_samp(f"pc{i}") for i in range(1, 5)), F.lit(0.0)), 4).alias("trace"))
+    shares, loadings = scoring.pca(z, names)
+    pcs = [f"pc{i}" for i in range(len(COLS))]
+    p = scoring.project(z, names, loadings, **{c: i for i, c in enumerate(pcs)})
+    powers = [F.round(sum((F.pow(F.var_samp(c), F.lit(float(k))) for c in pcs), F.lit(0.0)), 4).alias(f"sum_{k}") for k in range(1, 5)]
+    off = [F.abs(F.covar_samp(a, b)) for i, a in enumerate(pcs) for b in pcs[i + 1 :]]
+    falling = F.lit(bool(all(shares[:-1] >= shares[1:]))) & (F.var_samp(pcs[0]) >= F.var_samp(pcs[-1]))
+    return p.agg(*powers, F.round(F.greatest(*off), 6).alias("largest_covariance"), falling.alias("falling"))
+
+
+@query(Z + PICKS[len(Z) :].replace("cluster_id", "camera_body") + " SELECT global_index, selected, label, selected AND NOT selected0 AS padded FROM l")
+def padded_selection(spark, sf):
+    """REL-6 where a few large clusters leave the selection under its floor."""
+    frames = cut(consensus_frames(spark, sf).withColumn("composite_relevance", r6("z_consensus")))
+    picked = cut(selection.pick(frames, "camera_body").withColumn("selected0", F.col("selected")))
+    return selection.with_label(selection.selection_floor(picked)).select("global_index", "selected", "label", (F.col("selected") & ~F.col("selected0")).alias("padded"))
 
 
 @query(A + f", s AS (SELECT camera_body, avg(deqa_score) FILTER (NOT degraded) AS m, stddev_pop(deqa_score) FILTER (NOT degraded) AS sd FROM a GROUP BY 1) SELECT global_index, {s6('(deqa_score - m) / CASE WHEN sd < 1e-8 THEN 1 ELSE sd END', 'z')} FROM a JOIN s USING (camera_body)")
@@ -327,11 +342,60 @@ def aggregate_faces(spark, sf):
     return g.select("k", (F.floor(F.col("f.near") * 1e4 + 0.5) / 1e4).alias("near"), r6("f.far").alias("far"), "f.min_ear", "f.n_faces", F.col("f.largest.area").alias("largest"))
 
 
+#: Frames of four shoots with the features that every stage needs, in SQL text that both engines run.
+SHOOT_SQL = """
+SELECT user_id % 4 AS shoot_id, event_id, {path} AS path, {epoch} AS timestamp, event_type <> 'error' AS has_face,
+       CASE WHEN event_type = 'view' THEN 'error' ELSE 'face_mesh' END AS subject_det_method, value / 300 AS raw_min_ear,
+       value AS sharp_near_eye, value * 2 AS sharp_far_eye, value * 3 AS sharpness_subject, event_id % 97 = 5 AS degraded,
+       CAST(event_id * 7919 % 1009 AS DOUBLE) / 1009 AS topiq_score, CAST(event_id * 104729 % 997 AS DOUBLE) / 10 AS musiq_score,
+       1 + CAST(event_id * 1299709 % 811 AS DOUBLE) / 200 AS qalign_score, CAST(event_id * 15485863 % 613 AS DOUBLE) / 613 AS qualiclip_score
+FROM {events}"""
+SHOOT_WEIGHTS = {"musiq_score": 2.0, "qalign_score": 4.0, "qualiclip_score": 1.0}
+_Z = ", ".join(f"({c} - avg({c}) OVER s) / (CASE WHEN stddev_pop({c}) OVER s < 1e-8 THEN 1.0 ELSE stddev_pop({c}) OVER s END) AS z_{c}" for c in SHOOT_WEIGHTS)
+RUN_DUCK = "WITH e AS (" + SHOOT_SQL.format(path="lpad(event_id::VARCHAR, 12, '0')", epoch="epoch_us(ts) / 1e6", events="events") + f"""),
+o AS (SELECT *, row_number() OVER (PARTITION BY shoot_id ORDER BY timestamp, path) - 1 AS global_index FROM e),
+g AS (SELECT *, coalesce(timestamp - lag(timestamp) OVER w > 21600, false) AS sb, coalesce(timestamp - lag(timestamp) OVER w > 3600, false) AS bb FROM o WINDOW w AS (PARTITION BY shoot_id ORDER BY global_index)),
+i AS (SELECT *, sum(sb::INT) OVER w AS scene_id, sum((sb OR bb)::INT) OVER w AS burst_id FROM g WINDOW w AS (PARTITION BY shoot_id ORDER BY global_index ROWS UNBOUNDED PRECEDING)),
+h AS (SELECT *, sum((subject_det_method <> 'error')::INT) OVER w AS n_valid, avg(CASE WHEN subject_det_method <> 'error' THEN (NOT has_face)::INT END) OVER w AS share, count(*) FILTER (has_face) OVER w AS n_face, max(raw_min_ear) FILTER (has_face) OVER w AS top FROM i WINDOW w AS (PARTITION BY shoot_id, burst_id)),
+c AS (SELECT *, CASE WHEN n_valid >= 2 AND share > 0.2 AND share < 0.8 AND has_face AND subject_det_method <> 'error' THEN sharpness_subject ELSE sharp_near_eye END AS near,
+  has_face AND CASE WHEN n_face = 1 OR (top < 0.2 AND n_face <= 3) THEN raw_min_ear < 0.12 ELSE raw_min_ear < 0.5 * top END AS blink FROM h),
+f AS (SELECT *, CASE WHEN has_face THEN near ELSE sharpness_subject END AS sharp FROM c),
+t AS (SELECT *, NOT blink AND ((topiq_score > 0 AND topiq_score < 0.35)::INT + (musiq_score > 0 AND musiq_score < 30)::INT + (sharp > 0 AND sharp < 50)::INT) < CASE WHEN (topiq_score > 0)::INT + (musiq_score > 0)::INT + (sharp > 0)::INT >= 2 THEN 2 ELSE 1 END AS passes FROM f),
+z AS (SELECT *, {_Z} FROM t WINDOW s AS (PARTITION BY shoot_id)),
+k AS (SELECT *, (2 * z_musiq_score + 4 * z_qalign_score + z_qualiclip_score) / 7 AS z_consensus, passes AND NOT degraded AS gate FROM z),
+q AS (SELECT *, CASE WHEN degraded THEN '-infinity'::DOUBLE ELSE z_consensus END AS comp FROM k),
+r AS (SELECT *, row_number() OVER (PARTITION BY shoot_id, burst_id ORDER BY gate DESC, comp DESC, global_index) AS p1, row_number() OVER (PARTITION BY shoot_id, burst_id ORDER BY gate DESC, qualiclip_score DESC, global_index) AS p2, sum(gate::INT) OVER (PARTITION BY shoot_id, burst_id) AS passing FROM q),
+a AS (SELECT *, p2 = 1 AND passing >= 2 AND p1 <> 1 AS alt FROM r),
+u AS (SELECT *, p1 = 1 OR alt AS selected0, p1 = 1 AND NOT bool_or(alt) OVER (PARTITION BY shoot_id, burst_id) AS agree FROM a),
+v AS (SELECT *, greatest(3, ceil(0.02 * count(*) OVER (PARTITION BY shoot_id))) - sum(selected0::INT) OVER (PARTITION BY shoot_id) AS need, row_number() OVER (PARTITION BY shoot_id, NOT selected0 AND gate ORDER BY comp DESC, global_index) AS rk FROM u),
+l AS (SELECT *, selected0 OR (gate AND rk <= need) AS selected FROM v),
+th AS (SELECT shoot_id, quantile_cont(comp, [0.0228, 0.1587, 0.5, 0.8413]) AS qs FROM l WHERE NOT degraded GROUP BY shoot_id)
+SELECT l.shoot_id, event_id, global_index, scene_id::BIGINT AS scene_id, burst_id::BIGINT AS burst_id, blink AS blink_detected, gate AS technical_gate_pass, selected, alt AS aesthetic_disagreement, agree AS cluster_agreement,
+  CASE WHEN selected AND alt THEN 'Purple' WHEN selected THEN 'Red' WHEN NOT gate THEN 'Green' ELSE '' END AS label,
+  CASE WHEN degraded THEN 1 WHEN comp >= qs[4] THEN 5 WHEN comp >= qs[3] THEN 4 WHEN comp >= qs[2] THEN 3 WHEN comp >= qs[1] THEN 2 ELSE 1 END AS star_rating,
+  CASE WHEN degraded THEN -1e9 ELSE floor(z_consensus * 1e6 + 0.5) / 1e6 END AS consensus
+FROM l JOIN th USING (shoot_id)"""
+
+
+def shoot_frames(spark: SparkSession, sf: str) -> DataFrame:
+    sql = SHOOT_SQL.replace("{path}", "lpad(CAST(event_id AS STRING), 12, '0')").replace("{epoch}", "unix_micros(CAST(ts AS TIMESTAMP)) / 1e6D")
+    f = spark.sql(sql, events=_table(spark, sf, "events"))
+    return f.withColumns({"focal": F.lit(50.0), "orientation": F.lit(""), "ev": F.lit(None).cast("double"), "camera_body": F.lit("b"), "blink_detected": F.lit(False), "eye_ratio_raw": F.lit(1.0)})
+
+
+@query(RUN_DUCK)
+def shoots_end_to_end(spark, sf):
+    """EXE-9: order, sessions, calibration, gate, consensus, components, picks, floor, labels and stars of four shoots."""
+    f = run_selection(shoot_frames(spark, sf), SHOOT_WEIGHTS, cluster="burst_id", burst_gap=3600, scene_gap=21600)
+    consensus = F.when(F.col("degraded"), -1e9).otherwise(r6("z_consensus")).alias("consensus")
+    return f.select("shoot_id", "event_id", "global_index", "scene_id", "burst_id", "blink_detected", "technical_gate_pass", "selected", "aesthetic_disagreement", "cluster_agreement", "label", "star_rating", consensus)
+
+
 # Vectors ---------------------------------------------------------------------------------------------------------
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, sf, "embeddings").select(F.col("vec_id").alias("global_index"), F.col("label").alias("scene_id"), "embedding")
+    return _table(spark, sf, "embeddings").select(F.lit(1).alias("shoot_id"), F.col("vec_id").alias("global_index"), F.col("label").alias("scene_id"), "embedding")
 
 
 @query("WITH u AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT vec_id, label, list_transform(e, lambda x: x / (sqrt(list_sum(list_transform(e, lambda y: y*y))) + 1e-8)) AS v FROM u) SELECT x.label AS scene_id, x.vec_id AS a, y.vec_id AS b, floor((1 - list_inner_product(x.v, y.v))*1e5+0.5)/1e5 AS distance FROM n x JOIN n y USING (label) WHERE x.vec_id < y.vec_id")
@@ -341,7 +405,7 @@ def pair_distances(spark, sf):
 
 @query()
 def cluster_scenes(spark, sf):
-    return selection.global_cluster_ids(selection.cluster_scenes(vectors(spark, sf), "global_index", "scene_id", "embedding", 0.9), "scene_id").select("global_index", "cluster_id")
+    return selection.global_cluster_ids(selection.cluster_scenes(vectors(spark, sf), "global_index", ["shoot_id", "scene_id"], "embedding", 0.9), "scene_id").select("global_index", "cluster_id")
 
 
 @query()
@@ -386,12 +450,12 @@ def path_hash(spark, sf):
     return readers.path_hash(_table(spark, sf, "pages"), "url")
 
 
-IMAGE_PATHS = "concat('/in/', CASE WHEN page_id % 7 = 0 THEN '.trash/' WHEN page_id % 11 = 0 THEN 'x_ranked_topiq/' ELSE 'day/' END, page_id, CASE WHEN page_id % 5 = 0 THEN '.JPG' WHEN page_id % 5 = 1 THEN '_embedded.jpg' WHEN page_id % 5 = 2 THEN '.txt' ELSE '.cr3' END)"
+IMAGE_PATHS = "concat('/home/.u/in/', CASE WHEN page_id % 7 = 0 THEN '.trash/' WHEN page_id % 11 = 0 THEN 'x_ranked_topiq/' WHEN page_id % 13 = 0 THEN 'x_category_1/' ELSE 'day/' END, page_id, CASE WHEN page_id % 5 = 0 THEN '.JPG' WHEN page_id % 5 = 1 THEN '_embedded.jpg' WHEN page_id % 5 = 2 THEN '.txt' ELSE '.cr3' END)"
 
 
 @query(f"SELECT path FROM (SELECT page_id, {IMAGE_PATHS} AS path FROM pages) WHERE page_id % 7 <> 0 AND page_id % 11 <> 0 AND page_id % 5 NOT IN (1, 2)")
 def image_listing(spark, sf):
-    return readers.select_images(_table(spark, sf, "pages").select(F.expr(IMAGE_PATHS).alias("path")))
+    return readers.select_images(_table(spark, sf, "pages").select(F.expr(IMAGE_PATHS).alias("path")), root="/home/.u/in/")
 
 
 @query(f"SELECT upper(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) AS extension, count(*) AS n FROM (SELECT {IMAGE_PATHS} AS path FROM pages) GROUP BY 1")
@@ -418,7 +482,12 @@ def feature_match(spark, sf):
     return selection.match_features(items, features).agg(F.count_if("matched").alias("n_matched"), F.count_if(~F.col("matched")).alias("n_unmatched"))
 
 
-@query()
+@query(
+    "WITH g AS (SELECT i, j, row_number() OVER (ORDER BY i * j, i, j) AS k FROM range(1, 7) a(i), range(1, 7) b(j) WHERE i * j <= 6), "
+    "d AS (SELECT p_partkey, i, j, k, abs((p_size * 40 + 200)::DOUBLE / 1000 - i::DOUBLE / j) AS d, (p_size * 40 + 200) * 1000.0 > 0.5 * 448 * 448 * i * j AS big FROM part, g), "
+    "t AS (SELECT *, min(d) OVER (PARTITION BY p_partkey) AS m FROM d), f AS (SELECT *, min(k) OVER (PARTITION BY p_partkey) AS first FROM t WHERE d = m), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN k = first THEN 0 WHEN big THEN k ELSE -1 END DESC) AS n FROM f) SELECT p_partkey, i::INT AS i, j::INT AS j FROM r WHERE n = 1"
+)
 def closest_grid(spark, sf):
     return _table(spark, sf, "part").select("p_partkey", scalar.closest_grid(F.col("p_size") * 40 + 200, F.lit(1000)).alias("g")).select("p_partkey", F.col("g.i").alias("i"), F.col("g.j").alias("j"))
 

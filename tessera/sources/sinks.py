@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.sources.readers import FEATURES, SCORES, SHARP
 
 #: Sidecar tag names.
-TAGS = {"topiq_score": "TOPIQScore", "musiq_score": "MUSIQScore", "qalign_score": "QAlignScore", "qualiclip_score": "QualiCLIPScore", "deqa_score": "DeQAScore", "q_scorer_score": "QScorerScore", "q_insight_score": "QInsightScore", "nima_score": "NIMAScore", "artimuse_score": "ArtiMuseScore", "unipercept_score": "UniPerceptScore", "z_consensus": "ZConsensus", "z_disagreement": "ZDisagreement", "pc2_aesthetic_vs_technical": "PC2", "pc3_structural": "PC3"}
+TAGS = {"qalign_score": "QAlignScore", "qualiclip_score": "QualiCLIPScore", "topiq_score": "TOPIQScore", "musiq_score": "MUSIQScore", "deqa_score": "DeQAScore", "q_scorer_score": "QScorerScore", "q_insight_score": "QInsightScore", "nima_score": "NIMAScore", "artimuse_score": "ArtiMuseScore", "unipercept_score": "UniPerceptScore", "z_consensus": "ZConsensus", "z_disagreement": "ZDisagreement", "pc2_aesthetic_vs_technical": "PC2AestheticVsTechnical", "pc3_structural": "PC3Structural"}
 
 
 def decimals(value: Column, n: int) -> Column:
@@ -43,6 +43,36 @@ def sidecar_tags(frames: DataFrame) -> DataFrame:
     return frames.select("path", F.regexp_replace("path", r"\.[^./]+$", ".xmp").alias("sidecar"), tags.alias("tags"))
 
 
+#: The namespaces of a sidecar.
+_SIDECAR = '<?xpacket begin="\ufeff" id="W5M0MpCehiHzreSzNTczkc9d"?>\n<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about="" xmlns:xmp="http://ns.adobe.com/xap/1.0/" xmlns:xmpMM="http://ns.adobe.com/xap/1.0/mm/" xmpMM:OriginalDocumentID="'
+
+
+def sidecar_documents(frames: DataFrame) -> DataFrame:
+    """(sidecar, xml): a whole sidecar for each image, with its tags in the xmp namespace; an empty label is left out."""
+    quoted = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    entries = F.array_sort(F.filter(F.map_entries("tags"), lambda e: e.value != ""))
+    written = F.array_join(F.transform(entries, lambda e: F.concat(F.lit(" xmp:"), e.key, F.lit('="'), quoted(e.value), F.lit('"'))), "")
+    name = quoted(F.element_at(F.split("path", "/"), -1))
+    return sidecar_tags(frames).select("sidecar", F.concat(F.lit(_SIDECAR), name, F.lit('"'), written, F.lit('/></rdf:RDF></x:xmpmeta>\n<?xpacket end="w"?>')).alias("xml"))
+
+
+def write_sidecars(frames: DataFrame) -> int:
+    """Write each image's sidecar beside it, whole or not at all, from the executors; returns how many."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, xml in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                files, place = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+                with files.open_output_stream(place) as out:
+                    out.write(xml.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return sidecar_documents(frames).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def ranked_listing(frames: DataFrame, columns: list[str], key: str = "global_index") -> DataFrame:
     """scorer, rank and link name for each column: best first, ties by key."""
     long = frames.unpivot([key, "filename", "star_rating", "label"], columns, "scorer", "value")
