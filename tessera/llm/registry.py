@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.session import reachable
 
-TOKENIZERS = "/opt/tokenizers"  # folder of the public vocabulary files; never copied
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file, which is never copied."""
+    return str(public_tokenizers.path(name))
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -21,13 +26,13 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_files import read_token_files, write_token_files
 
     docs = _documents(spark, sf_dir)
-    return read_token_files(write_token_files(docs, new_folder(spark, "tokens"), f"{TOKENIZERS}/byte_bpe_50k.json", 2))
+    return read_token_files(write_token_files(docs, new_folder(spark, "tokens"), vocabulary("byte_bpe_50k.json"), 2))
 
 
 def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sentence_pieces import round_trip
 
-    return round_trip(_documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model", seed=1)
+    return round_trip(_documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), seed=1)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +44,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import pack
 
-    return pack(_documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
+    return pack(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,13 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textspans import mix, powers, text_slices
+from tessera.llm.textspans import mix, span_hashes, text_slices
 from tessera.llm.wordcache import gather
 
 RATE, LONG = 0.1, 96
 CACHE_WORDS = 500_000
 _MARK, _NEVER = "▁", np.int32(2**31 - 1)
-_CODE_SALT = np.uint64(0xD1342543DE82EF95)
 
 
 class PieceModel:
@@ -220,7 +219,7 @@ class PieceEncoder:
 
     def reset(self) -> None:
         self.known: dict[int, int] = {}
-        self.ids, self.tests = Pool(np.uint32), Pool(np.uint64)
+        self.ids, self.tests, self.checks = Pool(np.uint32), Pool(np.uint64), Pool(np.uint64)
 
     def _ids(self, left: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Byte pieces in place of characters without a piece; (flat ids, ids of each word)."""
@@ -258,10 +257,11 @@ class PieceEncoder:
             left = left[left != -1]
             yield np.array([i]), *self._ids(left, np.zeros(len(left), np.int64), 1), seen
 
-    def _learn(self, keys: np.ndarray, symbols: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> None:
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, symbols: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> None:
         for rows, flat, counts, seen in self._segment(keys, symbols, begins, sizes, 0.0, self.rate > 0):
             self.known.update(zip(keys[rows].tolist(), range(self.ids.n, self.ids.n + len(rows)), strict=True))
             self.ids.add(flat, counts)
+            self.checks.add(checks[rows], np.ones(len(rows), np.int64))
             own = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in seen)])
             tests = np.concatenate([np.zeros(0, np.uint64), *(x[1] for x in seen)])
             self.tests.add(tests[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(rows)))
@@ -300,21 +300,24 @@ class PieceEncoder:
         begins = np.flatnonzero(first)
         sizes = np.diff(np.append(begins, len(codes)))
         owner = np.searchsorted(starts, begins, "right") - 1
-        power, inverse = powers(len(codes) + 1)
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(mix(codes.astype(np.uint64) + _CODE_SALT) * power[:-1], out=sums[1:])
-        keys = mix((sums[begins + sizes] - sums[begins]) * inverse[begins] + sizes.astype(np.uint64))
+        keys, checks = (span_hashes(codes.view(np.uint8), 4 * begins, 4 * (begins + sizes), seed=k) for k in (0, 1))
         number = np.arange(len(begins)) - np.searchsorted(owner, owner)
         symbols = self.model.chars[codes]
-        which, distinct = pd.factorize(keys)
-        if len(self.known) + len(distinct) > CACHE_WORDS:
-            self.reset()
-        sample = np.zeros(len(distinct), np.int64)
-        sample[which[::-1]] = np.arange(len(which) - 1, -1, -1)
-        new = np.flatnonzero(np.fromiter((k not in self.known for k in distinct.tolist()), bool, len(distinct)))
-        if len(new):
-            self._learn(distinct[new], symbols, begins[sample[new]], sizes[sample[new]])
-        place = np.fromiter(map(self.known.__getitem__, distinct.tolist()), np.int64, len(distinct))[which]
+        names = keys
+        while True:
+            which, distinct = pd.factorize(names)
+            if len(self.known) + len(distinct) > CACHE_WORDS:
+                self.reset()
+            sample = np.zeros(len(distinct), np.int64)
+            sample[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+            new = np.flatnonzero(np.fromiter((k not in self.known for k in distinct.tolist()), bool, len(distinct)))
+            if len(new):
+                self._learn(distinct[new], checks[sample[new]], symbols, begins[sample[new]], sizes[sample[new]])
+            place = np.fromiter(map(self.known.__getitem__, distinct.tolist()), np.int64, len(distinct))[which]
+            unlike = self.checks.flat[place] != checks
+            if not unlike.any():
+                break
+            names = np.where(unlike, mix(names ^ checks), names)  # equal names of different words
         n_ids = self.ids.sizes[place]
         counts = np.zeros(n_docs, np.int64)
         varied = np.zeros(0, np.int64)

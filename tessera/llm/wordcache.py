@@ -4,7 +4,8 @@ Both vocabularies split a text into pre-tokens before any merge, and a pre-token
 So a batch is cut into pre-tokens with array operations, the library encodes each distinct pre-token once, and the
 ids are put together again by array look-ups. The cutting rules are exact for the code points in ``_CLASS`` (Latin
 letters, digits, ASCII and general punctuation, blank, tab and line breaks); any document with another code point goes
-through the library as a whole.
+through the library as a whole. A cached pre-token is found by one 64-bit hash and checked by a second one; a document
+where they disagree goes through the library too.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from itertools import repeat
 
 import numpy as np
 
-from tessera.llm.textspans import mix, powers
+from tessera.llm.textspans import span_hashes
 
 _SPACE, _LETTER, _DIGIT, _OTHER, _RARE = range(5)
 #: The contractions of both pre-tokenizers.
@@ -35,7 +36,6 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
-_CODE_VALUE = mix(np.arange(7, 7 + 0x2100, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 class WordEncoder:
@@ -57,6 +57,7 @@ class WordEncoder:
         self.known: dict[int, int] = {}
         self.lengths = np.zeros(1024, np.int64)
         self.begins = np.zeros(1024, np.int64)
+        self.checks = np.zeros(1024, np.uint64)
         self.pool = np.zeros(4096, np.uint32)
         self.used = 0
 
@@ -161,10 +162,7 @@ class WordEncoder:
                 counted &= ~is_slow[np.searchsorted(borders, starts, "right") - 1]
             starts, ends = starts[counted], ends[counted]
             owner = np.searchsorted(borders, starts, "right") - 1
-            power, inverse = powers(len(codes) + 1)
-            sums = np.zeros(len(codes) + 1, np.uint64)
-            np.cumsum(_CODE_VALUE[np.minimum(codes, len(_CODE_VALUE) - 1)] * power[:-1], out=sums[1:])
-            keys = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+            keys, checks = (span_hashes(codes.view(np.uint8), 4 * starts, 4 * ends, seed=k) for k in (0, 1))
             which, distinct = pd.factorize(keys)
             if len(self.known) + len(distinct) > CACHE_WORDS:
                 self.reset()
@@ -179,7 +177,15 @@ class WordEncoder:
                 pieces = [text[a:b] for a, b in zip(starts[first[part]].tolist(), ends[first[part]].tolist(), strict=True)]
                 self._learn(distinct[part].tolist(), pieces)
             place[new] = np.arange(n, n + len(new))
+            while len(self.checks) < len(self.lengths):
+                self.checks = np.resize(self.checks, 2 * len(self.checks))
+            self.checks[place[new]] = checks[first[new]]
             where = place[which]
+            unlike = np.flatnonzero(self.checks[where] != checks)
+            if len(unlike):  # equal keys of different pre-tokens: their documents go through the library
+                slow = np.unique(np.concatenate([slow, owner[unlike]]))
+                mine = np.isin(owner, slow, invert=True)
+                where, owner = where[mine], owner[mine]
             size = self.lengths[where]
             counts += np.bincount(owner, size, n_docs).astype(np.int64)
             flat = gather(self.pool, self.begins[where], size)
