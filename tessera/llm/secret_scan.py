@@ -1,16 +1,17 @@
 """Operator 7: secrets in texts by a trigram inverted index, in DataFrame functions only.
 
-Each rule is a regular expression. From it a Boolean trigram query is derived; the trigrams of all queries are looked
-up in an inverted index of (trigram, document) postings, the postings are intersected and united as the query says,
-and only documents that remain are searched with the expression. Rules without a mandatory trigram are run on every
-text.
-
-The index holds the trigrams that some rule asks for, a set fixed by the rules and not by the data. Postings of a
-document are folded into one bit set before they are exchanged, and the candidates come back to the texts by a join on
-the document id (two exchanges of that key; a hot source or a frequent word has no part in it).
-
-Defined cases: a null text is an empty one; a null id joins as a value of its own; rows that share an id each get the
-spans of their own text (they share candidates, which verification sorts out); spans are in code points, end exclusive;
+Each rule is a regular expression. From it a Boolean trigram query is derived. The inverted index has, for each trigram
+that the queries ask for, sorted postings: the numbers of the rows that hold it, cut into chunks of a bounded number of
+rows. A query intersects postings, shortest first, and unites them; only rows that remain are searched with the
+expression. Rules without a mandatory trigram are run on every text.
+
+The trigrams are fixed by the rules and not by the data: of each conjunction the two that prose has least, so building
+looks for fewer strings than a scan has rules to run. ``build_index`` may be stored and used for any rules of the same
+trigrams. Row numbers are hashes of (id, text). Postings and candidates are narrow tables; texts are exchanged only where
+the candidates are too many for a broadcast, whose size Spark checks on the stored table.
+
+Defined cases: a null text is an empty one; a null id is a value of its own; rows that share an id each get the spans of
+their own text; rows that are equal share a number and get the same spans; spans are in code points, end exclusive;
 of one rule they are leftmost and don't overlap, of different rules they may.
 """
 
@@ -22,7 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.spans import SPAN, cut_spans, find_spans, join_spans, merge_spans
-from tessera.llm.trigrams import Query, trigram_query, trigrams
+from tessera.llm.storage import materialize
+from tessera.llm.trigrams import Query, thinned, trigram_query, trigrams
+
+CHUNK_ROWS = 65_536
 
 
 @dataclass(frozen=True)
@@ -51,38 +55,46 @@ RULES = (
 )
 
 
-def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (gram, doc): which documents hold each trigram that a rule asks for."""
-    grams = sorted(set().union(*(trigrams(trigram_query(r.pattern)) for r in rules)))
-    low = docs.select(F.col(id_col).alias("doc"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
-    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(k)) for k, g in enumerate(grams))).cast("array<int>"))
-    return low.select("doc", F.explode(held).alias("gram"))
+def _queries(rules: tuple[Rule, ...]) -> list[Query]:
+    return [thinned(trigram_query(r.pattern)) for r in rules]
+
+
+def _number(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))
 
 
-def _holds(query: Query, bits: Column, place: dict[str, int]) -> Column:
-    if query is True:
-        return F.lit(True)
+def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Postings (chunk, gram, rows): the ascending numbers of a chunk's rows that hold a trigram."""
+    grams = sorted(set().union(*map(trigrams, _queries(rules))))
+    chunks = max(1, -(-docs.count() // chunk_rows))
+    low = docs.select(_number(F.col(id_col), F.col(text_col)).alias("number"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
+    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams)).cast("array<string>"))
+    rows = low.select("number", F.explode(held).alias("gram"))
+    return rows.groupBy(F.pmod("number", F.lit(chunks)).alias("chunk"), "gram").agg(F.array_sort(F.collect_set("number")).alias("rows"))
+
+
+def _rows_of(query: Query, postings: Column) -> Column:
+    """The rows that satisfy a query, from a map of postings."""
+    none = F.array().cast("array<long>")
     if isinstance(query, str):
-        word, bit = divmod(place[query], 62)
-        return bits[word].bitwiseAND(F.lit(1 << bit)) != 0
-    parts = [_holds(p, bits, place) for p in query[1]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = (out & p) if query[0] == "and" else (out | p)
-    return out
+        return F.coalesce(F.try_element_at(postings, F.lit(query)), none)
+    parts = F.array(*(_rows_of(p, postings) for p in query[1]))
+    if query[0] == "or":
+        return F.array_distinct(F.flatten(parts))
+    shortest_first = F.array_sort(parts, lambda a, b: F.size(a) - F.size(b))
+    return F.aggregate(F.slice(shortest_first, 2, len(query[1])), F.element_at(shortest_first, 1), F.array_intersect)
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc, rule numbers) of the documents that satisfy some rule's query, by intersecting postings."""
-    queries = [trigram_query(r.pattern) for r in rules]
-    grams = sorted(set().union(*map(trigrams, queries)))
-    place = {g: k for k, g in enumerate(grams)}
-    words = -(-len(grams) // 62)
-    bit = F.expr("shiftleft(1L, gram % 62)")
-    sets = index.groupBy("doc").agg(*(F.bit_or(F.when(F.floor(F.col("gram") / 62) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(words)))
-    bits = [F.col(f"w{w}") for w in range(words)]
-    rows = sets.select("doc", F.array_compact(F.array(*(F.when(_holds(q, bits, place), F.lit(k)) for k, q in enumerate(queries) if q is not True))).alias("rules"))
-    return rows.where(F.size("rules") > 0)
+    """(number, rule numbers) of the rows that satisfy some rule's query."""
+    chunks = index.groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("gram", "rows"))).alias("postings"))
+
+    def hits_of(query: Query, rule: int) -> Column:
+        return F.transform(_rows_of(query, F.col("postings")), lambda r: F.struct(r.alias("number"), F.lit(rule).alias("rule")))
+
+    found = [hits_of(q, k) for k, q in enumerate(_queries(rules)) if q is not True]
+    hits = chunks.select(F.explode(F.concat(*found) if found else F.array().cast("array<struct<number:long,rule:int>>")).alias("hit"))
+    return hits.groupBy("hit.number").agg(F.collect_set("hit.rule").alias("rules"))
 
 
 def _verified(rule: Rule, number: int, needs_index: bool) -> Column:
@@ -99,9 +111,10 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     Columns: doc_id, text (null as empty), row (a struct of all columns of docs), then one for each rule. ``index`` may be
     a stored build_index().
     """
-    found = candidates(build_index(docs, rules, id_col, text_col) if index is None else index, rules)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct("*").alias("row"))
-    joined = rows.join(found, rows.doc_id.eqNullSafe(found.doc), "left").drop("doc")
+    index = materialize(build_index(docs, rules, id_col, text_col), "postings") if index is None else index
+    found = materialize(candidates(index, rules), "candidates")
+    rows = docs.select(_number(F.col(id_col), F.col(text_col)).alias("number"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct("*").alias("row"))
+    joined = rows.join(found, "number", "left")
     return joined.select("doc_id", "text", "row", *(_verified(r, k, trigram_query(r.pattern) is not True).alias(r.kind) for k, r in enumerate(rules)))
 
 

@@ -12,6 +12,9 @@ import re._parser as parser
 
 Query = bool | str | tuple
 MOST = 24  # strings that a stretch may stand for before it is cut
+MANDATORY = 2  # trigrams of a conjunction that a thinned query keeps
+#: The letters by falling frequency in English prose.
+_FREQUENT = "etaoinsrhdlucmfywgpbvkxqjz"
 
 
 def _all(parts: list[Query]) -> Query:
@@ -116,3 +119,17 @@ def trigrams(query: Query) -> set[str]:
     if query is True:
         return set()
     return {query} if isinstance(query, str) else set().union(*map(trigrams, query[1]))
+
+
+def _rarity(gram: str) -> tuple[int, str]:
+    return -sum(_FREQUENT.index(c) if c in _FREQUENT else len(_FREQUENT) for c in gram), gram
+
+
+def thinned(query: Query) -> Query:
+    """A query that the given one implies, with the ``MANDATORY`` trigrams of each conjunction that prose has least."""
+    if not isinstance(query, tuple):
+        return query
+    if query[0] == "or":
+        return _any([thinned(p) for p in query[1]])
+    grams = sorted((p for p in query[1] if isinstance(p, str)), key=_rarity)
+    return _all([*grams[:MANDATORY], *(thinned(p) for p in query[1] if not isinstance(p, str))])
