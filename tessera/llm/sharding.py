@@ -61,8 +61,8 @@ def directory(rows: DataFrame, limit: int, round_bits: int = ROUND_BITS) -> list
     return out
 
 
-def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", round_bits: int = ROUND_BITS) -> DataFrame:
-    """doc_id, n_bytes, shard (prefix bits as text; "" for the root), depth, shard_bytes, shard_docs and fits, for every row."""
+def _assigned(docs: DataFrame, limit: int, id_col: str, text_col: str, round_bits: int) -> DataFrame:
+    """doc_id, hash, n_bytes and the closed bucket of every row."""
     rows = materialize(docs.select(F.col(id_col).alias("doc_id"), row_hash(F.col(id_col), F.col(text_col)).alias("hash"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes")), "hashed")
     rest, out = rows, None
     for k, closed in enumerate(directory(rows, limit, round_bits)):
@@ -72,18 +72,26 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_
         out = found if out is None else out.unionByName(found)
         rest = keyed.join(closed.select("prefix"), "prefix", "left_anti").drop("prefix")
     bits = F.when(F.col("depth") > 0, F.lpad(F.conv(F.col("bucket").cast("string"), 10, 2), F.col("depth"), F.lit("0"))).otherwise("")
-    return out.select("doc_id", "n_bytes", bits.alias("shard"), F.col("depth").cast("long").alias("depth"), F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"), (F.col("bytes") <= limit).alias("fits"))
-
-
-def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the documents as Parquet, a folder for each shard; rows equal in id and text are in the shard of their hash."""
-    shards = assign_shards(docs, limit, id_col, text_col)
-    table = shards.select("shard", "depth").distinct()
-    depths = [r.depth for r in table.select("depth").distinct().collect()]  # at most HASH_BITS + 1 rows
-    out = None
-    for d in sorted(depths):
-        code = F.shiftright(row_hash(F.col(id_col), F.col(text_col)), HASH_BITS - d)
-        bits = F.lpad(F.conv(code.cast("string"), 10, 2), d, "0") if d else F.lit("")
-        part = docs.withColumn("shard", bits).join(table.where(F.col("depth") == d).select("shard"), "shard", "left_semi")
-        out = part if out is None else out.unionByName(part)
-    out.withColumn("shard", F.concat(F.lit("p"), F.col("shard"))).repartition("shard").write.partitionBy("shard").parquet(path)
+    return out.withColumn("shard", bits)
+
+
+def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", round_bits: int = ROUND_BITS) -> DataFrame:
+    """doc_id, n_bytes, shard (prefix bits as text; "" for the root), depth, shard_bytes, shard_docs and fits, for every row."""
+    out = _assigned(docs, limit, id_col, text_col, round_bits)
+    return out.select("doc_id", "n_bytes", "shard", F.col("depth").cast("long").alias("depth"), F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"), (F.col("bytes") <= limit).alias("fits"))
+
+
+def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Write the documents as Parquet, a folder for each shard; rows equal in id and text are in the shard of their hash.
+
+    All columns are written; the folders' column, returned, is ``shard`` with underscores added where docs has that name.
+    """
+    name, own = "shard", "row_hash"
+    while name in docs.columns:
+        name += "_"
+    while own in docs.columns:
+        own += "_"
+    places = _assigned(docs, limit, id_col, text_col, ROUND_BITS).select(F.col("hash").alias(own), F.concat(F.lit("p"), "shard").alias(name)).distinct()
+    rows = docs.withColumn(own, row_hash(F.col(id_col), F.col(text_col))).join(places, own).drop(own)
+    rows.repartition(name).write.partitionBy(name).parquet(path)
+    return name
