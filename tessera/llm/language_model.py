@@ -1,19 +1,19 @@
 """Byte n-gram language models with modified Kneser-Ney smoothing, counted by Spark over every document.
 
-A key packs a 23-bit hash of the language and up to five bytes (A-Z in lower case, white space as a blank, digits as
+A key packs a 23-bit number of the language (its place among the names in order) and up to five bytes (A-Z in lower case, white space as a blank, digits as
 0), so a model of all languages is one set of ascending key arrays. Order 5 has the occurrences, lower orders the
 numbers of distinct left neighbours. Each n-gram also gets its leave-one-out probability, as if one occurrence (and,
 where that was the last one, its lower-order types) weren't there: documents are scored by a model that they are part
 of, and without that a text of strings seen nowhere else would look likely.
 
 The model stays in the shared folder as Parquet; a scoring worker loads it once into sorted arrays if it has at most
-``MAX_RESIDENT`` rows. Beyond that the documents' distinct n-grams are joined with it instead.
+``MAX_RESIDENT`` rows, 16 bytes each and about twice that while an order is loaded. Beyond that the documents' distinct n-grams are joined with it instead.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from tessera.llm.storage import materialize, open_fs
 from tessera.llm.textspans import text_slices
 
 ORDER = 5
-MAX_RESIDENT = 16_000_000
+MAX_RESIDENT = 8_000_000
 _FORM = np.arange(256, dtype=np.uint8)
 _FORM[65:91] += 32
 _FORM[48:58] = 48
@@ -33,8 +33,12 @@ _FORM[[9, 10, 11, 12, 13]] = 32
 _START = 10  # fills the context of a document's first bytes
 
 
-def language_code(name: str | None) -> int:
-    return 0 if name is None else zlib.crc32(name.encode()) & 0x7FFFFF
+def language_codes(docs: DataFrame, lang_col: str) -> dict[str, int]:
+    """A number from 1 for each language name; null and names that aren't in the table have 0."""
+    names = sorted(r[0] for r in docs.select(F.col(lang_col).cast("string")).where(F.col(lang_col).isNotNull()).distinct().collect())
+    if len(names) >= 1 << 23:
+        raise ValueError(f"{lang_col} has {len(names)} values, too many for languages")
+    return {name: k + 1 for k, name in enumerate(names)}
 
 
 def document_keys(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -49,9 +53,9 @@ def document_keys(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> n
     return keys
 
 
-def _batch_keys(batch: pa.RecordBatch, text: int, lang: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _batch_keys(batch: pa.RecordBatch, text: int, lang: int, codes: dict[str, int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     languages = batch.column(lang).dictionary_encode()
-    table = np.array([language_code(x) for x in languages.dictionary.to_pylist()] + [0], np.int64)
+    table = np.array([codes.get(x, 0) for x in languages.dictionary.to_pylist()] + [0], np.int64)
     which = languages.indices.fill_null(len(table) - 1).to_numpy(zero_copy_only=False)
     for a, b, data, offsets in text_slices(batch.column(text)):
         yield a, b, offsets, document_keys(data, offsets, table[which[a:b]])
@@ -65,7 +69,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(counts, first)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(codes: dict[str, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import pandas as pd
 
     parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -76,7 +80,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(table[0][a : a + 100_000]), pa.array(table[1][a : a + 100_000])], names=["key", "n"])
 
     for batch in batches:
-        for *_, keys in _batch_keys(batch, 0, 1):
+        for *_, keys in _batch_keys(batch, 0, 1, codes):
             if len(keys):
                 which, distinct = pd.factorize(keys)
                 parts.append((distinct, np.bincount(which, minlength=len(distinct))))
@@ -105,12 +109,12 @@ def _suffix(key: Column, order: int) -> Column:
     return F.shiftleft(F.shiftright(key, 40), 40).bitwiseOR(key.bitwiseAND(F.lit((1 << (8 * (order - 1))) - 1)))
 
 
-def kneser_ney(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def kneser_ney(docs: DataFrame, codes: dict[str, int], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The model: (order, key, p, loo, bow); bow is the weight that a context of that order gives the order below it.
 
     ``p`` is the interpolated probability of an n-gram's last byte, ``loo`` the same with one occurrence left out.
     """
-    counted = docs.select(F.col(text_col), F.col(lang_col)).mapInArrow(_count, "key long, n long")
+    counted = docs.select(F.col(text_col), F.col(lang_col)).mapInArrow(partial(_count, codes), "key long, n long")
     table = materialize(counted.groupBy("key").agg(F.sum("n").alias("a")), "ngrams")
     orders = {ORDER: table}
     for k in range(ORDER, 1, -1):
@@ -151,18 +155,18 @@ class ResidentModel:
 
     def __init__(self, path: str):
         files, place = open_fs(path)
-        table = pq.ParquetDataset(place, filesystem=files).read(columns=["order", "key", "p", "loo", "bow"])
-        order, keys = table["order"].to_numpy(), table["key"].to_numpy()
         self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.weights: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for k in range(1, ORDER + 1):
-            mine = np.flatnonzero(order == k)
-            mine = mine[np.argsort(keys[mine])]
-            logs = [np.log(table[c].to_numpy()[mine]).astype(np.float32) for c in ("p", "loo")]
-            self.grams[k] = (keys[mine], *logs)
-            mine = np.flatnonzero(order == -k)
-            mine = mine[np.argsort(keys[mine])]
-            self.weights[k] = (keys[mine], np.log(np.maximum(table["bow"].to_numpy()[mine], 1e-9)).astype(np.float32))
+        for k in range(1, ORDER + 1):  # one order at a time, so that little more than the arrays is in memory
+            table = pq.ParquetDataset(place, filesystem=files, filters=[("order", "=", k)]).read(columns=["key", "p", "loo"])
+            keys = table["key"].to_numpy()
+            order = np.argsort(keys)
+            logs = [np.log(table[c].to_numpy()).astype(np.float32)[order] for c in ("p", "loo")]
+            self.grams[k] = (keys[order], *logs)
+            table = pq.ParquetDataset(place, filesystem=files, filters=[("order", "=", -k)]).read(columns=["key", "bow"])
+            keys = table["key"].to_numpy()
+            order = np.argsort(keys)
+            self.weights[k] = (keys[order], np.log(np.maximum(table["bow"].to_numpy(), 1e-9)).astype(np.float32)[order])
 
     @staticmethod
     def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,8 @@ noise, above is text that repeats itself or its neighbours far beyond what the l
 
 Plan: one exchange of texts that drops copies (within each task first, so a hot group moves one row a task), a counting
 pass with partial sums by worker and by Spark, a model in shared Parquet, one scoring pass over the rows as they lie that
-writes a narrow table, quartiles by a mergeable sketch, and a join with one row for each language.
+writes a narrow table, quartiles from counts on a fixed grid (so they don't depend on how rows are dealt out, and no task
+holds a language's values), and a join with one row for each language.
 
 Defined cases: a null text has no words (base_failed, not kept); a null language is a language of its own; a language
 with a single document has a band around it; rows are judged one by one, so repeated rows and ids and null ids are
@@ -20,18 +21,20 @@ kept apart; other columns aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import language_model
-from tessera.llm.language_model import _batch_keys, document_keys, kneser_ney, resident
+from tessera.llm.language_model import _batch_keys, document_keys, kneser_ney, language_codes, resident
 from tessera.llm.storage import materialize, new_folder
 from tessera.llm.textspans import owners, per_document, repeated, span_hashes, text_slices, windows, words
 
 LOW, HIGH, NOISE, LEAST_SPREAD = 5.0, 5.0, 0.5, 0.02
+GRID, GRID_END = 1e-3, 200.0  # values are rounded to the grid's step; beyond its ends they count as the end
 FEW = 25  # a language of this many texts gets limits twice as wide, as its quartiles say little
 WINDOW = 5
 #: The symbols that the base rules count.
@@ -82,14 +85,14 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text_hash"
 _DDL = "doc_id long, lang string, text_hash long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", n_bytes long, log_sum double"
 
 
-def _scored(path: str | None):
+def _scored(path: str | None, codes: dict[str, int]):
     """Base counts and, with a resident model, the sum of ln P."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pandas as pd
 
         for batch in batches:
-            keys_of = _batch_keys(batch, 1, 2) if path else None
+            keys_of = _batch_keys(batch, 1, 2, codes) if path else None
             for a, b, data, offsets in text_slices(batch.column(1)):
                 counts = base_counts(data, offsets)
                 sums = np.zeros(b - a)
@@ -105,10 +108,10 @@ def _scored(path: str | None):
     return run
 
 
-def _document_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _document_ngrams(codes: dict[str, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, key, n) of each document's distinct n-grams, for models too large to be resident."""
     for batch in batches:
-        for a, b, offsets, keys in _batch_keys(batch, 1, 2):
+        for a, b, offsets, keys in _batch_keys(batch, 1, 2, codes):
             rows = batch.column(0).slice(a, b - a)
             for i in range(b - a):
                 distinct, n = np.unique(keys[offsets[i] : offsets[i + 1]], return_counts=True)
@@ -121,29 +124,38 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("text_hash"))
     folder = new_folder(spark, "model")
-    kneser_ney(rows.select("text", "lang").distinct()).write.parquet(folder)  # copies count once: a text's copies would make it likely
+    codes = language_codes(rows, "lang")
+    kneser_ney(rows.select("text", "lang").distinct(), codes).write.parquet(folder)  # copies count once: a text's copies would make it likely
     model = spark.read.parquet(folder)
     if model.count() <= (language_model.MAX_RESIDENT if max_resident is None else max_resident):
-        return materialize(rows.mapInArrow(_scored(folder), _DDL), "scores")
+        return materialize(rows.mapInArrow(_scored(folder, codes), _DDL), "scores")
     # Rows get a number of their own, written down so that it doesn't change between uses.
     numbered = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    grams = numbered.select("row", "text", "lang").mapInArrow(_document_ngrams, "row long, key long, n long")
+    grams = numbered.select("row", "text", "lang").mapInArrow(partial(_document_ngrams, codes), "row long, key long, n long")
     sums = grams.join(model.where(F.col("order") == language_model.ORDER).select("key", "loo"), "key").groupBy("row").agg(F.sum(F.col("n") * F.ln("loo")).alias("total"))
-    counts = numbered.select(F.col("row").alias("doc_id"), "text", "lang", "text_hash").mapInArrow(_scored(None), _DDL).withColumnRenamed("doc_id", "row").drop("log_sum")
+    counts = numbered.select(F.col("row").alias("doc_id"), "text", "lang", "text_hash").mapInArrow(_scored(None, codes), _DDL).withColumnRenamed("doc_id", "row").drop("log_sum")
     joined = counts.join(numbered.select("row", "doc_id"), "row").join(sums, "row", "left")
     return materialize(joined.select("doc_id", "lang", "text_hash", *_COUNTS, "n_bytes", F.coalesce("total", F.lit(0.0)).alias("log_sum")), "scores")
 
 
+def grid_quantiles(rows: DataFrame, by: str, value: Column, shares: list[float]) -> DataFrame:
+    """(by, n, q): the number of rows and the quantiles of a value on the grid, the least cell that reaches each share."""
+    cells = rows.select(by, F.round(F.greatest(F.lit(-GRID_END), F.least(F.lit(GRID_END), value)) / GRID).cast("long").alias("cell")).groupBy(by, "cell").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy(by)  # at most 2 * GRID_END / GRID + 1 rows
+    counted = cells.select(by, "cell", F.sum("n").over(whole.orderBy("cell")).alias("upto"), F.sum("n").over(whole).alias("n"))
+    return counted.groupBy(by).agg(F.max("n").alias("n"), F.array(*(F.min(F.when(F.col("upto") >= s * F.col("n"), F.col("cell") * GRID)) for s in shares)).alias("q"))
+
+
 def judge(docs: DataFrame, low: float = LOW, high: float = HIGH, noise: float = NOISE, least_spread: float = LEAST_SPREAD, max_resident: int | None = None, **columns: str) -> DataFrame:
     """doc_id, lang, text_hash (xxhash64 of the text), the base counts, base_failed, mean_log (mean ln P of a byte), low and high (the band) and kept."""
     scores = score_documents(docs, max_resident=max_resident, **columns)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = scores.withColumn("base_failed", failed).withColumn("mean_log", F.when(F.col("n_bytes") > 0, F.col("log_sum") / F.col("n_bytes")))
     texts = rows.where(~F.col("base_failed")).groupBy(F.col("lang").alias("of"), "text_hash").agg(F.max("mean_log").alias("mean_log"), F.max("n_bytes").alias("n_bytes"))
-    middles = texts.groupBy("of").agg(F.percentile_approx("mean_log", 0.5, 10_000).alias("mid"), F.count("*").alias("n_texts"))
-    away = texts.join(middles.withColumnRenamed("of", "lang"), F.col("of").eqNullSafe(F.col("lang")))
-    away = away.select("of", "mid", "n_texts", ((F.col("mean_log") - F.col("mid")) * F.sqrt("n_bytes")).alias("z"))
-    quartiles = away.groupBy("of", "mid", "n_texts").agg(F.percentile_approx("z", [0.25, 0.75], 10_000).alias("q"))
+    middles = grid_quantiles(texts, "of", F.col("mean_log"), [0.5]).select(F.col("of").alias("lang"), F.col("q")[0].alias("mid"), F.col("n").alias("n_texts"))
+    away = texts.join(middles, F.col("of").eqNullSafe(F.col("lang"))).select("of", ((F.col("mean_log") - F.col("mid")) * F.sqrt("n_bytes")).alias("z"))
+    quartiles = grid_quantiles(away, "of", F.col("z"), [0.25, 0.75]).select(F.col("of").alias("around"), "q")
+    quartiles = quartiles.join(middles, F.col("around").eqNullSafe(F.col("lang"))).select(F.col("around").alias("of"), "mid", "n_texts", "q")
     bands = quartiles.select("of", "mid", *((F.greatest(side, F.lit(noise)) * (1 + FEW / F.col("n_texts"))).alias(name) for name, side in (("down", -F.col("q")[0]), ("up", F.col("q")[1]))))
     out = rows.join(bands, rows.lang.eqNullSafe(bands.of), "left")
     root = F.sqrt(F.greatest("n_bytes", F.lit(1)))
