@@ -3,12 +3,14 @@
 Four base patterns (e-mail, IPv4, card and phone) give spans that always stay. Generators of high recall propose more:
 written-out addresses, grouped numbers, long digit runs, IPv6 addresses and bank accounts. Boosted trees over the
 candidates' format and context, evaluated as expressions, give a probability; a threshold for each kind, calibrated on
-held-out candidates for the precision asked for, selects what is reported or redacted. Candidates that are (part of) a
-base span by their own form aren't proposed.
+held-out candidates for the precision asked for, selects what is reported or redacted. Selected candidates then compete:
+one that overlaps a base span, or a candidate of a larger margin over its threshold (of equal ones the earlier kind, then
+the earlier start), goes.
 
 The trees are fitted once for each session on ``TRAIN_ROWS`` generated sentences and ``MAIL_ROWS`` more with written-out
 addresses of mixed forms and prose that looks like them (fixed bounds and seed), whose
-candidates go through the same expressions; nothing else is sampled. The scan is one narrow pass without an exchange.
+candidates go through the same expressions; a candidate is a true one only where it begins with the datum that was put
+in, so pieces of it and runs inside hashes, tokens and keys count as false. Nothing else is sampled. The scan is one narrow pass without an exchange.
 
 Defined cases: a null text is an empty one; each row is scanned by itself, so null, repeated or clashing ids don't
 matter; spans are in code points, end exclusive, and don't overlap within a kind.
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.boosting import Boosted, fit, least_threshold
-from tessera.llm.spans import cut_spans, find_spans, join_spans, merge_spans
+from tessera.llm.spans import SPAN, cut_spans, find_spans, join_spans, let, merge_spans
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("written_email", "number_group", "digit_run", "ipv6", "iban")
@@ -103,14 +105,14 @@ def candidate_features(span: Column, kind: int) -> list[Column]:
     ]
 
 
-def _sentences() -> list[tuple[int, str, float]]:
-    """(number, sentence, label): generated sentences with one candidate each; # stands for a digit, ? for a hex digit, ~ for a word."""
+def _sentences() -> list[tuple[int, str, str, float]]:
+    """(number, sentence, datum, label): generated sentences with one candidate each; # stands for a digit, ? for a hex digit, ~ for a word."""
     pick = random.Random(SEED)
     lead = ["Please {c} {x} today", "{c} {x}.", "We had {c} {x} on file", "La {c}: {x} est", "Die {c} {x} ist neu", "mi {c} {x}, gracias"]
     good = [
         (["call", "phone", "my mobile", "Telefon", "tel", "fax", "cell"], ["(###) ###-####", "###-###-####", "### ### ####", "#### ### ###", "## ## ## ## ##", "###.###.####"]),
         (["SSN", "social security", "passport", "member"], ["###-##-####", "########", "#########"]),
-        (["account", "Konto", "compte", "cuenta", "patient", "card"], ["##########", "############", "####-####-####", "################"]),
+        (["account", "Konto", "compte", "cuenta", "patient", "card"], ["##########", "############", "####-####-####"]),
         (["write to", "contact", "reach me", "mail"], ["ann.lee [at] mail [dot] com", "joe(at)site(dot)org", "max at host dot de", "eva [at] post.example.com"]),
         (["host", "from", "client", "address"], ["2001:db8:?:?:?:?:?:?", "fe80:?:?:?:?:?:?:?"]),
         (["IBAN", "account", "pay to", "from"], ["DE## #### #### #### #### ##", "FR##################", "ES## #### #### #### #### ####"]),
@@ -119,6 +121,7 @@ def _sentences() -> list[tuple[int, str, float]]:
         (["order", "invoice", "ticket", "part", "article", "sku", "no"], ["###-###-####", "##########", "####-####-####", "########", "###-##-####", "## ## ##"]),
         (["isbn", "code", "version", "build"], ["978-##-####-###", "##.##.##", "########", "############"]),
         (["the", "and", "le", "der", "of on", "ciones"], ["################", "#############", "## ## ##", "####-##-##", "########", "### ### ###"]),
+        (["token", "hash", "commit", "key", "id", "account", "card", "member"], ["?c?########?b?", "a?f##########d?e", "0x########", "x-##########k", "id_#########", "#########ab?f", "/########/", "################"]),
         (["date", "between", "year", "score"], ["20##-##-##", "##-##-##", "20## 20## 20##", "##.##.20##"]),
         (["look", "we were", "met"], ["us at home dot dot", "them at noon . Then"]),
         (["time", "at", "log"], ["##:##:##:##:##", "#:#:#:#:#"]),
@@ -140,7 +143,7 @@ def _sentences() -> list[tuple[int, str, float]]:
         cue = pick.choice(cues) if pick.random() < 0.9 else pick.choice(["the", "a note", "then"])
         form = pick.choice(forms)
         text = "".join(pick.choice("0123456789") if c == "#" else pick.choice("0123456789abcdef") * pick.choice([1, 1, 2]) if c == "?" else "".join(pick.choice("etaoinshrdlucm") for _ in range(pick.randint(2, 9))) if c == "~" else c for c in form)
-        out.append((i, pick.choice(lead).format(c=cue, x=text), float(label)))
+        out.append((i, pick.choice(lead).format(c=cue, x=text), text, float(label)))
     return out
 
 
@@ -152,9 +155,9 @@ def fitted(spark: SparkSession) -> tuple[Boosted, tuple[float, ...], dict[str, f
     """(trees of the other kinds than written_email, threshold of each added kind, held-out precision and recall); fitted once for each session."""
     key = spark.sparkContext.applicationId
     if key not in _FITTED:
-        rows = spark.createDataFrame(_sentences(), "i int, text string, label double")
-        of_kind = [_features_of(s, kind) for kind, s in enumerate(candidate_spans(F.col("text")))]
-        found = rows.select("i", "label", F.explode(F.concat(*of_kind)).alias("f")).orderBy("i").collect()  # at most a few for each of TRAIN_ROWS
+        rows = spark.createDataFrame(_sentences(), "i int, text string, datum string, label double")
+        of_kind = [_described(spans, kind) for kind, spans in enumerate(candidate_spans(F.col("text")))]
+        found = rows.select("i", "label", F.explode(F.concat(*of_kind)).alias("c")).select("i", (F.col("label") * F.col("c.whole").cast("double")).alias("label"), "c.f").orderBy("i").collect()  # at most a few for each of TRAIN_ROWS
         x, y, i = np.array([r.f for r in found]), np.array([r.label for r in found]), np.array([r.i for r in found])
         held = (i // 2) % 10 < 4
         mail = x[:, 0] == 0  # written-out addresses have trees of their own
@@ -170,22 +173,50 @@ def fitted(spark: SparkSession) -> tuple[Boosted, tuple[float, ...], dict[str, f
     return _FITTED[key]
 
 
-def _features_of(spans: Column, kind: int) -> Column:
-    return F.transform(spans, lambda s: F.array(*candidate_features(s, kind)))
+def _described(spans: Column, kind: int) -> Column:
+    """Features of the candidates of a generated sentence, and whether they begin with the datum put in."""
+    return F.transform(spans, lambda s: F.struct(F.array(*candidate_features(s, kind)).alias("f"), F.startswith("datum", s.txt).alias("whole")))
+
+
+_SCORED = "array<struct<start:int,end:int,txt:string,before:string,after:string,lead:double>>"
 
 
 def _selected(spans: Column, kind: int, model: Boosted, cut: float) -> Column:
-    """The spans whose probability reaches the kind's threshold."""
+    """The spans whose probability reaches the kind's threshold, with their margin over it."""
     if cut > 1:
-        return F.filter(spans, lambda _: F.lit(False))
+        return F.array().cast(_SCORED)
     cut = min(max(cut, 1e-9), 1 - 1e-9)
-    margin = float(np.log(cut / (1 - cut))) - 1e-9
+    least = float(np.log(cut / (1 - cut))) - 1e-9
+
+    def scored(s: Column) -> Column:
+        lead = let(F.array(*candidate_features(s, kind)), lambda f: model.column(lambda k: F.element_at(f, k + 1))) - least
+        return F.struct(s.start.alias("start"), s.end.alias("end"), s.txt.alias("txt"), s.before.alias("before"), s.after.alias("after"), lead.alias("lead"))
+
+    return F.filter(F.transform(spans, scored), lambda s: s.lead >= 0)
+
+
+def _overlaps(s: Column, t: Column) -> Column:
+    return (s.start < t.end) & (t.start < s.end)
+
+
+def _unbeaten(kind: int) -> Column:
+    """The kind's spans that no base span and no stronger span of another kind overlaps (of one kind, none overlap)."""
+
+    def beats(s: Column, other: int) -> Column:
+        least = (lambda t: t.lead >= s.lead) if other < kind else (lambda t: t.lead > s.lead)
+        return F.exists(f"scored_{ADDED[other]}", lambda t: _overlaps(s, t) & least(t))
 
-    def passes(s: Column) -> Column:
-        named = F.array(F.array(*candidate_features(s, kind)))
-        return F.exists(named, lambda f: model.column(lambda k: F.element_at(f, k + 1)) >= margin)
+    def stays(s: Column) -> Column:
+        beaten = F.exists(F.concat(*BASE), lambda t: _overlaps(s, t))
+        for other in range(len(ADDED)):
+            if other != kind:
+                beaten = beaten | beats(s, other)
+        return ~beaten
 
-    return F.filter(spans, passes)
+    none = F.array().cast(_SCORED)
+    own = f"scored_{ADDED[kind]}"
+    kept = F.when(F.size(own) > 0, F.filter(own, stays)).otherwise(none)
+    return F.transform(kept, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "end", "txt", "before", "after")))).cast(f"array<{SPAN}>")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,8 +228,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text")
     mail = _MAIL_TREES[docs.sparkSession.sparkContext.applicationId]
-    added = [_selected(s, k, model if k else mail, cuts[k]).alias(ADDED[k]) for k, s in enumerate(candidate_spans(text))]
-    return rows.select("doc_id", "text", *(s.alias(k) for k, s in zip(BASE, base_spans(text), strict=True)), *added)
+    added = [_selected(s, k, model if k else mail, cuts[k]).alias(f"scored_{ADDED[k]}") for k, s in enumerate(candidate_spans(text))]
+    found = rows.select("doc_id", "text", *(s.alias(k) for k, s in zip(BASE, base_spans(text), strict=True)), *added)
+    return found.select("doc_id", "text", *BASE, *(_unbeaten(k).alias(name) for k, name in enumerate(ADDED)))
 
 
 def pii_digest(found: DataFrame) -> DataFrame:
