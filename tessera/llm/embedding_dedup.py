@@ -1,13 +1,15 @@
 """Operator 10: exact near-duplicate links of embeddings by cosine, comparing tiles in PCA order.
 
 Vectors are scaled to unit length in double precision and rotated to the principal axes of all of them, so that the
-leading coordinates hold most of every dot product. Tiles of ``TILE`` vectors are compared in steps of ``STEP``
-coordinates: after each step the missing part of a product is at most the product of the two suffix norms, and pairs
-whose sum of both stays under the threshold are dropped. Survivors are decided by the full cosine in double precision.
+leading coordinates hold most of every dot product. Tiles of at most ``TILE`` vectors or ``TILE_BYTES`` are compared in
+steps of ``STEP`` coordinates: after each step the missing part of a product is at most the product of the two suffix
+norms, and pairs whose sum of both stays under the threshold are dropped. Survivors are decided by the full cosine of
+the vectors as they came, in double precision.
 
 Equal vectors are one vertex with a multiplicity, so copies aren't compared with each other. A tile task returns, for
-each vector, its number of links and one spanning link, never pairs. Tiles are cut by a hash of the vector, and also by
-their first coordinate where there are many: tile pairs whose first coordinates lie too far apart aren't formed.
+each vector, its number of links and one spanning link, never pairs. Tiles are cut by a hash of the vector, and where
+there are many also in bands (at most ``BANDS``) of the first coordinate: bands too far apart never meet. A vector is
+sent once for each tile that its own tile meets, so large tiles keep the copies few.
 The work grows with the square of the number of distinct vectors, in tasks of fixed size; nothing is dropped.
 
 Defined cases: a vector that is null, empty, zero or holds a null or non-finite component links with nothing; vectors
@@ -25,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.storage import materialize
+from tessera.llm.storage import batches_of, materialize
 
-TILE, STEP, ROWS = 2048, 16, 512
+TILE, TILE_BYTES, BANDS, STEP, ROWS = 8192, 16 << 20, 64, 16, 256
 SLACK = 1e-4  # of single-precision partial sums against the threshold
 
 
@@ -77,8 +79,12 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float, triangle: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (in x, in y) with dot product >= threshold of unit rows in PCA order; ``triangle``: x is y, pairs once."""
+def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float, triangle: bool, plain: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (in x, in y) with dot product >= threshold of unit rows in PCA order; ``triangle``: x is y, pairs once.
+
+    ``plain`` are the same rows before the rotation, which decide.
+    """
+    plain = plain or (x, y)
     dim = x.shape[1]
     narrow_x, narrow_y = x.astype(np.float32), y.astype(np.float32)
     squares_x, squares_y = np.cumsum((narrow_x**2)[:, ::-1], 1)[:, ::-1], np.cumsum((narrow_y**2)[:, ::-1], 1)[:, ::-1]
@@ -114,7 +120,7 @@ def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float, triangle: bool)
             partial, i, j = partial[keep], i[keep], j[keep]
         for a in range(0, len(i), 1 << 18):
             p, q = i[a : a + (1 << 18)], j[a : a + (1 << 18)]
-            exact = np.einsum("nd,nd->n", x[p], y[q]) >= threshold
+            exact = np.einsum("nd,nd->n", plain[0][p], plain[1][q]) >= threshold
             out_a.append(p[exact])
             out_b.append(q[exact])
     none = np.zeros(0, np.int64)
@@ -136,7 +142,7 @@ def _compare(dim: int, axes: np.ndarray, threshold: float):
                 mine = [np.flatnonzero(tile[s:e] == t) + s for t in ((left[k],) if left[k] == right[k] else (left[k], right[k]))]
                 units = [_unit(raw[m].ravel(), dim) for m in mine]
                 turned = [u @ axes for u in units]
-                a, b = close_pairs(turned[0], turned[-1], threshold, len(mine) == 1)
+                a, b = close_pairs(turned[0], turned[-1], threshold, len(mine) == 1, (units[0], units[-1]))
                 if not len(a):
                     continue
                 a, b = mine[0][a], mine[-1][b]
@@ -158,7 +164,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda c: c != 0), F.lit(False))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
-    rows = rows.select("vec_id", "vector", usable.alias("usable"), F.size(v).alias("dim"), F.xxhash64("vector").alias("h1"), F.xxhash64("vector", F.lit(1)).alias("h2"))
+    rows = rows.select("vec_id", "vector", usable.alias("usable"), F.size(v).alias("dim"), F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))
     distinct = materialize(rows.where("usable").groupBy("dim", "h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.min_by("vector", "vec_id").alias("vector")), "vectors")
     found = None
     for dim, n in distinct.groupBy("dim").count().collect():  # one row for each length that occurs
@@ -167,25 +173,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         lead = F.aggregate(F.zip_with("vector", F.array(*(F.lit(float(c)) for c in axes[:, 0])), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
         length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
         placed = same.select("id", "h1", "copies", "vector", (lead / length).alias("lead"))
-        tiles = max(1, -(-n // tile))
-        bands = int(min(64, max(1, tiles // 4)))
+        tiles = max(1, -(-n // max(64, min(tile, TILE_BYTES // (8 * dim)))))
+        bands = int(min(BANDS, max(1, tiles // 4)))
         cuts = sorted(set(placed.approxQuantile("lead", [k / bands for k in range(1, bands)], 0.25 / bands))) if bands > 1 else []
         band = sum(((F.col("lead") >= c).cast("int") for c in cuts), F.lit(0))
         per_band = -(-tiles // (len(cuts) + 1))
-        placed = placed.withColumn("tile", (band * per_band + F.pmod(F.xxhash64("id"), F.lit(per_band))).cast("int"))
-        placed = materialize(placed, "tiles")
-        boxes = placed.groupBy("tile").agg(F.min("lead").alias("low"), F.max("lead").alias("high"))
-        other = boxes.select(F.col("tile").alias("tile2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+        placed = placed.withColumn("band", band).withColumn("tile", F.col("band") * per_band + F.pmod(F.xxhash64("id"), F.lit(per_band)))
+        placed = materialize(placed.withColumn("tile", F.col("tile").cast("long")), "tiles")
+        boxes = placed.groupBy("band").agg(F.min("lead").alias("low"), F.max("lead").alias("high")).collect()  # at most BANDS rows
         far = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6  # unit vectors with this cosine are no farther apart
-        pairs = boxes.join(other, (F.col("tile") <= F.col("tile2")) & (F.col("low2") - F.col("high") <= far) & (F.col("low") - F.col("high2") <= far)).select(F.col("tile").alias("a"), F.col("tile2").alias("b"))
-        sides = materialize(pairs, "tile-pairs")
+        near = [(x.band, y.band) for x in boxes for y in boxes if y.low - x.high <= far and x.low - y.high <= far]
+        numbered = placed.select("band", "tile").distinct()
+        meeting = numbered.select(F.col("band").alias("x"), F.col("tile").alias("a")).join(placed.sparkSession.createDataFrame(near, "x int, y int"), "x").join(numbered.select(F.col("band").alias("y"), F.col("tile").alias("b")), "y")
+        sides = materialize(meeting.where("a <= b").select("a", "b"), "tile-pairs")
         sides = sides.withColumn("tile", F.explode(F.array_distinct(F.array("a", "b"))))
         dealt = placed.join(sides, "tile").select("a", "b", F.struct("tile", "id", "h1", "copies", "vector").alias("member"))
         links = dealt.groupBy("a", "b").agg(F.collect_list("member").alias("members")).mapInArrow(_compare(dim, axes, threshold), "id long, key long, links long, root long")
         found = links if found is None else found.unionByName(links)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = materialize(found, "links")
+    with batches_of(vectors.sparkSession, 1):  # a row holds two tiles
+        found = materialize(found, "links")
     per_vector = found.groupBy("id", F.col("key").alias("h1")).agg(F.sum("links").alias("links"))
     named = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     known = distinct.select("dim", "h1", "h2", "id", "copies").join(per_vector, ["id", "h1"], "left").join(named.withColumnRenamed("node", "id"), "id", "left")
