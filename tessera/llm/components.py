@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import materialize
+from tessera.llm.storage import discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,5 +23,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         lower = labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("before"), F.least("label", "least").alias("label"))
         roots = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
         jumped = lower.join(roots, "label").select("node", "before", F.least("label", "root").alias("label"))
-        labels = materialize(jumped.select("node", "label", (F.col("label") != F.col("before")).alias("changed")), "labels")
+        before, labels = labels, materialize(jumped.select("node", "label", (F.col("label") != F.col("before")).alias("changed")), "labels")
+        discard(before)
+    discard(both)
     return labels.select("node", F.col("label").alias("component"))
