@@ -47,6 +47,7 @@ from tessera.llm.textspans import mix, owners, per_document, span_hashes, text_s
 BLOCK_DOCS, BLOCK_SHINGLES = 96, 400_000
 BITS, LEAF, FANOUT = 1024, 8, 4
 SLICE = 1 << 20  # bytes of text hashed at once; a worker needs about 50 times as much
+NAMED = 26  # of a bitmap's places, the power of two; the bitmap takes 8 MB
 TASKS = 64  # tasks in an Arrow batch, as one may hold BLOCK_SHINGLES
 COPIES = 200_000  # digests that a task remembers to send the keys of equal sets once; bounds memory, never results
 
@@ -301,13 +302,28 @@ def _compare(width: int, percent: int):
     return run
 
 
+def _perhaps_named(docs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The rows of docs whose id's place in a bitmap of 2^NAMED places is that of an id of tasks: all that tasks name.
+
+    Only the bitmap, whose size is fixed, is broadcast; ids that share a place come along, and the join drops them.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << NAMED))
+    bucket, bit = F.shiftright(place, 15), place.bitwiseAND(F.lit((1 << 15) - 1))
+    maps = tasks.select(bucket.alias("_bucket"), bit.alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    rows = docs.withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(maps), "_bucket")
+    return rows.where(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1).drop("_bucket", "_bit", "_map")
+
+
 def _joined(tasks: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links found by tasks (t1, t2, doc_id, label) over the texts of docs (doc_id, text)."""
-    # A stored table has a known size: where it is small it is broadcast, and only the texts it names are exchanged.
-    rows = materialize(tasks, "tasks").join(docs, "doc_id").select("t1", "t2", F.struct("doc_id", "label", "text").alias("member"))
+    stored = materialize(tasks, "tasks")
+    rows = stored.join(_perhaps_named(docs, stored), "doc_id").select("t1", "t2", F.struct("doc_id", "label", "text").alias("member"))
     found = rows.groupBy("t1", "t2").agg(F.collect_list("member").alias("members")).select("members").mapInArrow(_compare(width, percent), "a long, b long")
     with batches_of(docs.sparkSession, TASKS):
-        return materialize(found, "links")
+        out = materialize(found, "links")
+    discard(stored)
+    return out
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
