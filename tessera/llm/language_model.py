@@ -7,7 +7,7 @@ where that was the last one, its lower-order types) weren't there: documents are
 of, and without that a text of strings seen nowhere else would look likely.
 
 The model stays in the shared folder as Parquet; a scoring worker loads it once into sorted arrays if it has at most
-``MAX_RESIDENT`` rows, 16 bytes each and about twice that while an order is loaded. Beyond that the documents' distinct n-grams are joined with it instead.
+``MAX_RESIDENT`` rows, 16 bytes each and about twice that while the largest order is sorted. Beyond that the documents' distinct n-grams are joined with it instead.
 """
 
 from __future__ import annotations
@@ -17,15 +17,18 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
+import pyarrow.dataset as ds
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.storage import materialize, open_fs
 from tessera.llm.textspans import text_slices
+from tessera.llm.worker import drop_kept, give_back, kept
 
 ORDER = 5
 MAX_RESIDENT = 8_000_000
+SLICE = 1 << 19  # bytes of text whose keys are held at once
+HELD, HELD_MERGED = 1_000_000, 700_000  # n-grams that a counting task holds, before and after equal ones are added up
 _FORM = np.arange(256, dtype=np.uint8)
 _FORM[65:91] += 32
 _FORM[48:58] = 48
@@ -57,7 +60,7 @@ def _batch_keys(batch: pa.RecordBatch, text: int, lang: int, codes: dict[str, in
     languages = batch.column(lang).dictionary_encode()
     table = np.array([codes.get(x, 0) for x in languages.dictionary.to_pylist()] + [0], np.int64)
     which = languages.indices.fill_null(len(table) - 1).to_numpy(zero_copy_only=False)
-    for a, b, data, offsets in text_slices(batch.column(text)):
+    for a, b, data, offsets in text_slices(batch.column(text), SLICE):
         yield a, b, offsets, document_keys(data, offsets, table[which[a:b]])
 
 
@@ -72,6 +75,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 def _count(codes: dict[str, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import pandas as pd
 
+    drop_kept()
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
 
@@ -85,14 +89,16 @@ def _count(codes: dict[str, int], batches: Iterator[pa.RecordBatch]) -> Iterator
                 which, distinct = pd.factorize(keys)
                 parts.append((distinct, np.bincount(which, minlength=len(distinct))))
                 held += len(distinct)
-            if held > 3_000_000:
+            if held > HELD:
                 parts = [_merged(parts)]
                 held = len(parts[0][0])
-                if held > 2_000_000:  # bounded memory: what is left is added up by Spark
+                if held > HELD_MERGED:  # bounded memory: what is left is added up by Spark
                     yield from flushed(parts[0])
                     parts, held = [], 0
     if parts:
         yield from flushed(_merged(parts))
+    parts = []
+    give_back()
 
 
 def _discount(a: Column, d: dict[int, Column]) -> Column:
@@ -155,18 +161,29 @@ class ResidentModel:
 
     def __init__(self, path: str):
         files, place = open_fs(path)
+        stored = ds.dataset(place, filesystem=files, format="parquet")
         self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.weights: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for k in range(1, ORDER + 1):  # one order at a time, so that little more than the arrays is in memory
-            table = pq.ParquetDataset(place, filesystem=files, filters=[("order", "=", k)]).read(columns=["key", "p", "loo"])
-            keys = table["key"].to_numpy()
-            order = np.argsort(keys)
-            logs = [np.log(table[c].to_numpy()).astype(np.float32)[order] for c in ("p", "loo")]
-            self.grams[k] = (keys[order], *logs)
-            table = pq.ParquetDataset(place, filesystem=files, filters=[("order", "=", -k)]).read(columns=["key", "bow"])
-            keys = table["key"].to_numpy()
-            order = np.argsort(keys)
-            self.weights[k] = (keys[order], np.log(np.maximum(table["bow"].to_numpy(), 1e-9)).astype(np.float32)[order])
+            self.grams[k] = self._sorted(stored, k, "p", "loo")
+            self.weights[k] = self._sorted(stored, -k, "bow", least=1e-9)
+
+    @staticmethod
+    def _sorted(stored: ds.Dataset, order: int, *values: str, least: float = 0.0) -> tuple[np.ndarray, ...]:
+        """Ascending keys of an order and the logarithms of their values; the table is read one batch after the other."""
+        parts = [[np.zeros(0, np.int64)], *([np.zeros(0, np.float32)] for _ in values)]
+        for batch in stored.to_batches(columns=["key", *values], filter=ds.field("order") == order, batch_size=1 << 16, batch_readahead=1, fragment_readahead=1, use_threads=False):
+            parts[0].append(batch["key"].to_numpy().copy())
+            for part, c in zip(parts[1:], values, strict=True):
+                part.append(np.log(np.maximum(batch[c].to_numpy(), least)).astype(np.float32))
+        place = np.argsort(keys := np.concatenate(parts[0]))
+        parts[0] = []
+        keys = keys[place]
+        out = []
+        for part in parts[1:]:
+            out.append(np.concatenate(part)[place])
+            part.clear()
+        return (keys, *out)
 
     @staticmethod
     def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,11 +212,5 @@ class ResidentModel:
         return out
 
 
-_MODELS: dict[str, ResidentModel] = {}
-
-
 def resident(path: str) -> ResidentModel:
-    if path not in _MODELS:
-        _MODELS.clear()
-        _MODELS[path] = ResidentModel(path)
-    return _MODELS[path]
+    return kept(("model", path), lambda: ResidentModel(path))

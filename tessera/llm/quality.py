@@ -29,14 +29,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import language_model
-from tessera.llm.language_model import _batch_keys, document_keys, kneser_ney, language_codes, resident
-from tessera.llm.storage import materialize, new_folder
+from tessera.llm.language_model import SLICE, _batch_keys, document_keys, kneser_ney, language_codes, resident
+from tessera.llm.storage import batches_of, materialize, new_folder
 from tessera.llm.textspans import owners, per_document, repeated, span_hashes, text_slices, windows, words
+from tessera.llm.worker import give_back
 
 LOW, HIGH, NOISE, LEAST_SPREAD = 5.0, 5.0, 0.5, 0.02
 GRID, GRID_END = 1e-3, 200.0  # values are rounded to the grid's step; beyond its ends they count as the end
 FEW = 25  # a language of this many texts gets limits twice as wide, as its quartiles say little
 WINDOW = 5
+BATCH = 1000  # documents of an Arrow batch
 #: The symbols that the base rules count.
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -93,7 +95,7 @@ def _scored(path: str | None, codes: dict[str, int]):
 
         for batch in batches:
             keys_of = _batch_keys(batch, 1, 2, codes) if path else None
-            for a, b, data, offsets in text_slices(batch.column(1)):
+            for a, b, data, offsets in text_slices(batch.column(1), SLICE):
                 counts = base_counts(data, offsets)
                 sums = np.zeros(b - a)
                 if keys_of is not None:
@@ -104,6 +106,7 @@ def _scored(path: str | None, codes: dict[str, int]):
                         totals = np.concatenate([[0.0], np.cumsum(logs[which])])
                         sums = totals[offsets[1:]] - totals[offsets[:-1]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), batch.column(2).slice(a, b - a).cast(pa.string()), batch.column(3).slice(a, b - a), *(pa.array(counts[c]) for c in _COUNTS), pa.array(np.diff(offsets)), pa.array(sums)], schema=_SCHEMA)
+        give_back()
 
     return run
 
@@ -125,10 +128,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("text_hash"))
     folder = new_folder(spark, "model")
     codes = language_codes(rows, "lang")
-    kneser_ney(rows.select("text", "lang").distinct(), codes).write.parquet(folder)  # copies count once: a text's copies would make it likely
+    with batches_of(spark, BATCH):
+        kneser_ney(rows.select("text", "lang").distinct(), codes).write.parquet(folder)  # copies count once: a text's copies would make it likely
     model = spark.read.parquet(folder)
     if model.count() <= (language_model.MAX_RESIDENT if max_resident is None else max_resident):
-        return materialize(rows.mapInArrow(_scored(folder, codes), _DDL), "scores")
+        with batches_of(spark, BATCH):
+            return materialize(rows.mapInArrow(_scored(folder, codes), _DDL), "scores")
     # Rows get a number of their own, written down so that it doesn't change between uses.
     numbered = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
     grams = numbered.select("row", "text", "lang").mapInArrow(partial(_document_ngrams, codes), "row long, key long, n long")
